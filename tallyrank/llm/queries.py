@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam, packing, secrets, tokcount, toxicity, warc
 from .common import table
 from .line_dedup import dedup_lines
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_literal"
+    )
+
+
+def byte_bpe() -> Callable[[str], bytes]:
+    import public_tokenizers
+
+    return packing.byte_bpe(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -18,13 +37,51 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def piece_automaton() -> tokcount.PieceAutomaton:
+    import public_tokenizers
+
+    return tokcount.PieceAutomaton(tokcount.sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")), "▁")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.count_tokens(table(spark, sf_dir, "documents"), piece_automaton)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: A-Z lower-cased and nothing else, in DuckDB.
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+GAPS_SQL = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": f"""
@@ -42,5 +99,36 @@ flagged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
+""",
+    "op6_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT html, min(page_id) AS keeper FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN k.keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+FROM p LEFT JOIN k ON p.html = k.html
+""",
+    "op8_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER.format("coalesce(text, '')")}, {GAPS_SQL}), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex({ASCII_LOWER.format("coalesce(text, '')")}, {GAPS_SQL}), lambda x: x <> '') AS w
+  FROM benchmark),
+sized AS (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+spots AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT d.*, z.n, unnest(range(1, greatest(1, len(w) - z.n + 2))) AS i FROM d, (SELECT DISTINCT n FROM win) z)),
+occ AS (SELECT spots.doc_id, spots.i, spots.n, win.item_id FROM spots JOIN win ON spots.s = win.s AND spots.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(t, ',' ORDER BY t)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(ids.n_items, 0) AS n_items,
+       coalesce(ids.items_sha256, sha256('')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """,
 }
