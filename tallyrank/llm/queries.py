@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, secrets, tokcount, toxicity, warc
+from . import decontam, lm, minhash, packing, secrets, tokcount, toxicity, warc
 from .common import table
 from .line_dedup import dedup_lines
 
@@ -37,6 +37,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_scores() -> list[tuple[str, float]]:
+    import public_tokenizers
+
+    return lm.sentencepiece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), piece_scores)
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -76,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op5_lattice_scores": op5_lattice_scores,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
