@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, minhash, packing, secrets, tokcount, toxicity, warc
+from . import decontam, lm, minhash, packing, secrets, tokcount, topk, toxicity, warc
 from .common import table
 from .line_dedup import dedup_lines
 
@@ -37,6 +37,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return topk.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def piece_scores() -> list[tuple[str, float]]:
     import public_tokenizers
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_lattice_scores": op5_lattice_scores,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_toxicity": op7_toxicity,
@@ -115,6 +121,21 @@ flagged AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
+""",
+    "op4_exact_top_k": f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (
+  SELECT q.doc_id AS query_id, t.doc_id,
+         round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(d.w) / st.mean))), 9) AS s
+  FROM tf q JOIN tf t ON q.term = t.term AND q.doc_id % 50 = 0 JOIN df ON df.term = q.term JOIN d ON d.doc_id = t.doc_id, st
+  GROUP BY 1, 2)
+SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM sc) WHERE r <= 10
 """,
     "op6_warc_round_trip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
