@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,27 +114,37 @@ def token_estimate(text: Column) -> Column:
     ).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def typo_map(text: Column, salt: str = "") -> Column:
     """Informal spellings, else two letters swapped at a place that a hash of the text picks; lower case."""
     table = F.create_map(*(F.lit(x) for pair in INFORMAL.items() for x in pair))
     bare = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
-    parts = words(text)
-    known = F.exists(parts, lambda w: F.array_contains(_strings(list(INFORMAL)), bare(w)))
-    informal = F.lower(F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, bare(w)), w)), " "))
-    plain = F.lower(F.array_join(parts, " "))
-    lowered = words(plain)
-    long_at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lowered) - 1, F.lit(0))), lambda i: F.length(F.get(lowered, i)) > 4)
-    digest = F.md5(F.concat(F.lit(salt), plain))
-    draw = lambda start, n: F.conv(F.substring(digest, start, 7), 16, 10).cast("int") % n
-    at = F.get(long_at, draw(1, F.size(long_at)))
-    word = F.get(lowered, at)
-    pos = F.lit(1) + draw(9, F.length(word) - 3)
-    swapped = F.concat(
-        F.substring(word, F.lit(1), pos), F.substring(word, pos + 2, F.lit(1)), F.substring(word, pos + 1, F.lit(1)), F.substring(word, pos + 3, F.length(word))
-    )
-    changed = F.array_join(F.transform(lowered, lambda w, i: F.when(i == at, swapped).otherwise(w)), " ")
-    out = F.when(known, informal).when((F.length(plain) > 8) & (F.size(long_at) > 0), changed).otherwise(plain)
-    return F.regexp_replace(out, "[?.]+$", "")
+
+    def swapped(word: Column, draw: Column) -> Column:
+        pos = F.lit(1) + draw % (F.length(word) - 3)
+        return F.concat(
+            F.substring(word, F.lit(1), pos), F.substring(word, pos + 2, F.lit(1)), F.substring(word, pos + 1, F.lit(1)), F.substring(word, pos + 3, F.length(word))
+        )
+
+    def with_swap(plain: Column) -> Column:
+        draw = lambda start: F.conv(F.substring(F.md5(F.concat(F.lit(salt), plain)), start, 7), 16, 10).cast("int")
+        marked = let(words(plain), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        place = lambda ms: let(F.filter(ms, lambda m: F.length(m["w"]) > 4), lambda long: F.get(long, draw(1) % F.size(long))["i"])
+        changed = lambda ms, at: F.transform(ms, lambda m: F.when(m["i"] == at, swapped(m["w"], draw(9))).otherwise(m["w"]))
+        return let(marked, lambda ms: let(place(ms), lambda at: F.array_join(changed(ms, at), " ")))
+
+    def typo(parts: Column) -> Column:
+        known = F.exists(parts, lambda w: F.array_contains(_strings(list(INFORMAL)), bare(w)))
+        informal = F.lower(F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, bare(w)), w)), " "))
+        plain = F.lower(F.array_join(parts, " "))
+        swappable = (F.length(plain) > 8) & F.exists(parts, lambda w: F.length(F.lower(w)) > 4)
+        return F.when(known, informal).when(swappable, let(plain, with_swap)).otherwise(plain)
+
+    return F.regexp_replace(let(words(text), typo), "[?.]+$", "")
 
 
 def score_band(score: Column) -> Column:

@@ -182,7 +182,7 @@ f AS (SELECT conv_id, turn, w, min(i) AS i FROM e GROUP BY ALL)
 SELECT u.conv_id, u.turn, coalesce(string_agg(w, ' ' ORDER BY i), '') AS overlap FROM u LEFT JOIN f USING (conv_id, turn) GROUP BY u.conv_id, u.turn""",
     "humanize_identifier": f"""
 WITH n AS (SELECT p_partkey, p_name || '_' || p_type || 'partType.code' || '_' || p_brand AS name FROM part)
-SELECT p_partkey, {human('name')} AS human, {action('name')} || ' ' || array_to_string(list_slice(string_split({action('name')}, ' '), 2, NULL), ' ') AS phrases FROM n""",
+SELECT p_partkey, {human('name')} AS human, {action('name')} || ' ' || array_to_string(string_split({action('name')}, ' ')[2:], ' ') AS phrases FROM n""",
     "embedding_text": f"""
 WITH {PARTS}
 SELECT position, server || '.' || name AS qualified,
@@ -201,11 +201,11 @@ l AS (
   FROM s GROUP BY conv_id, turn),
 c AS (
   SELECT *, {ws('plain')} AS lw, list_filter(range(len({ws('plain')})), lambda i: length({ws('plain')}[i + 1]) > 4) AS la, md5('s' || plain) AS h FROM l),
-a AS (SELECT *, CASE WHEN len(la) > 0 THEN la[CAST(('0x' || substr(h, 1, 7))::BIGINT % len(la) AS INTEGER) + 1] END AS at FROM c),
-b AS (SELECT *, lw[at + 1] AS wd, 1 + ('0x' || substr(h, 9, 7))::BIGINT % (length(lw[at + 1]) - 3) AS pos FROM a),
+a AS (SELECT *, CASE WHEN len(la) > 0 THEN la[CAST(('0x' || substr(h, 1, 7))::BIGINT % len(la) AS INTEGER) + 1] END AS ap FROM c),
+b AS (SELECT *, lw[ap + 1] AS wd, 1 + ('0x' || substr(h, 9, 7))::BIGINT % (length(lw[ap + 1]) - 3) AS pos FROM a),
 o AS (
-  SELECT conv_id, turn, CASE WHEN known THEN informal WHEN length(plain) > 8 AND at IS NOT NULL THEN
-         array_to_string(list_transform(lw, lambda x, i: CASE WHEN i - 1 = at THEN substr(wd, 1, pos) || substr(wd, pos + 2, 1) || substr(wd, pos + 1, 1) || substr(wd, pos + 3) ELSE x END), ' ')
+  SELECT conv_id, turn, CASE WHEN known THEN informal WHEN length(plain) > 8 AND ap IS NOT NULL THEN
+         array_to_string(list_transform(lw, lambda x, i: CASE WHEN i - 1 = ap THEN substr(wd, 1, pos) || substr(wd, pos + 2, 1) || substr(wd, pos + 1, 1) || substr(wd, pos + 3) ELSE x END), ' ')
          ELSE plain END AS out FROM b)
 SELECT w.conv_id, w.turn, regexp_replace(coalesce(out, ''), '[?.]+$', '') AS typo FROM w LEFT JOIN o USING (conv_id, turn)""",
     "adversarial_templates": f"""
