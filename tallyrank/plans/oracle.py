@@ -91,7 +91,7 @@ ds AS (
   SELECT query_id, item_id, greatest(0.0, least(1.0, sum(qv.v * iv.v / (qn.z * inm.z)))) AS d
   FROM qv JOIN iv USING (b) JOIN qn USING (query_id) JOIN inm USING (item_id) WHERE qn.z > 0 AND inm.z > 0 GROUP BY ALL),
 pair AS (
-  SELECT q.query_id, q.query, q.category, it.item_id, coalesce(d, 0) AS dense_raw, coalesce(bm25, 0) AS bm25_raw
+  SELECT q.query_id, q.query, q.category, it.item_id, it.text, coalesce(d, 0) AS dense_raw, coalesce(bm25, 0) AS bm25_raw
   FROM q CROSS JOIN it LEFT JOIN ds USING (query_id, item_id) LEFT JOIN bm USING (query_id, item_id) WHERE trim(q.query) <> ''),
 mm AS (
   SELECT *, min(dense_raw) OVER w AS dlo, max(dense_raw) OVER w AS dhi, min(bm25_raw) OVER w AS blo, max(bm25_raw) OVER w AS bhi
