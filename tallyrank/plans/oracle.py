@@ -328,8 +328,8 @@ SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (P
 SELECT g.query_id, g.mode, CASE WHEN selected_k = 0 THEN 'refuse' ELSE 'execute' END AS stage, r.item_id AS chosen
 FROM gated g LEFT JOIN rd r ON r.query_id = g.query_id AND r.rank = 1 AND selected_k > 0""",
     "prompt_block": f"""{with_(SCORES, gates('rd'))},
-p AS (SELECT query_id, string_agg({BLOCK}, chr(10) ORDER BY rank) AS x, count(*) AS n FROM gated JOIN rd USING (query_id) WHERE rank <= selected_k GROUP BY query_id)
-SELECT g.query_id, CASE WHEN x IS NULL THEN '{NO_MATCH}' ELSE '{HEAD[0]}' || n || CASE WHEN n = 1 THEN ' tool' ELSE ' tools' END || '{HEAD[1]}' || chr(10) || chr(10) || x END AS prompt,
+p AS (SELECT query_id, string_agg({BLOCK}, chr(10) ORDER BY rank) AS x, count(*) AS shown FROM gated JOIN rd USING (query_id) WHERE rank <= selected_k GROUP BY query_id)
+SELECT g.query_id, CASE WHEN x IS NULL THEN '{NO_MATCH}' ELSE '{HEAD[0]}' || shown || CASE WHEN shown = 1 THEN ' tool' ELSE ' tools' END || '{HEAD[1]}' || chr(10) || chr(10) || x END AS prompt,
        {estimate("coalesce(x, '')")} AS tokens FROM gated g LEFT JOIN p USING (query_id)""",
     "explain_rows": f"""{with_(SCORES, gates('rh'))},
 s AS (
