@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in a struct ``_rest`` where no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*(docs[f"`{c}`"] for c in rest)).alias("_rest")] if rest else []))
+
+
+def unfolded(columns: list[str]) -> list[Column]:
+    """The columns of a folded table under their own names, in the given order."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

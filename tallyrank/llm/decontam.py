@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, folded, unfolded, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -48,7 +48,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     a null item_id adds hits but no id. Empty tables give no hits.
     """
     own = ("n_words", "n_hit", "items", "contaminated")
-    docs = docs.drop(*own)
+    columns = [c for c in docs.columns if c not in own]
+    docs = folded(docs.drop(*own))
     items = (
         benchmark.select("item_id", words_of(F.col("text")).alias("iw"))
         .where(F.size("iw") > 0)
@@ -148,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             }
         )
         .withColumn("contaminated", F.col("n_hit") > 0)
-        .select(*docs.columns, *own)
+        .select(*unfolded(columns), *own)
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, folded, unfolded
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -36,7 +36,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     document all copies of the line stay. An empty table gives an empty table.
     """
     own = ("n_lines", "n_dropped", "kept_text")
-    docs = docs.drop(*own)
+    columns = [c for c in docs.columns if c not in own]
+    docs = folded(docs.drop(*own))
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = F.transform(F.split(ascii_lower(text), "\n"), line_key)
     hashes = F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.unhex(F.md5(k))))
@@ -74,5 +75,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 "kept_text": kept,
             }
         )
-        .select(*docs.columns, *own)
+        .select(*unfolded(columns), *own)
     )

@@ -9,7 +9,6 @@ hits, normalised by length, into a score are learned from labelled rows.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -81,7 +80,6 @@ def _fold_table() -> dict[int, str]:
 
 
 FOLD = _fold_table()
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(text: str) -> str:
@@ -116,7 +114,7 @@ class Matcher:
         for last, entries in self.automaton.iter(folded):
             for entry, is_term in entries:
                 start, end = last + 1 - len(entry), last + 1
-                if _inside(folded, start, end) or not _agrees(text[start:end], entry):
+                if _inside(text, start, end) or not _agrees(text[start:end], entry):
                     continue
                 if is_term:
                     terms.append((start, end, entry))
@@ -128,18 +126,18 @@ class Matcher:
 
 
 def _inside(text: str, start: int, end: int) -> bool:
-    """Whether letters go on before or after."""
-    return (start > 0 and text[start - 1].isalpha()) or (end < len(text) and text[end].isalpha())
+    """Whether letters or digits go on before or after, in the text as it is: a mark ends a word even if it may stand for a letter."""
+    return (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
 
 
 def _agrees(raw: str, entry: str) -> bool:
-    """i and l only for themselves or for what may stand for either; at least half the characters letters."""
+    """i and l only for themselves or for what may stand for either; at least a third of the characters letters."""
     letters = 0
     for c, e in zip(raw, entry, strict=True):
         letters += c.isalpha()
         if e in "il" and c.isascii() and c.isalpha() and c.lower() != e:
             return False
-    return 2 * letters >= len(entry.replace(" ", ""))
+    return 3 * letters >= len(entry.replace(" ", ""))
 
 
 def features(hits: dict[str, int], n_words: int, weights: dict[str, float]) -> tuple[float, float]:
