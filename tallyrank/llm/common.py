@@ -21,6 +21,12 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def split_words(text: str | None, lower: bool = True) -> list[bytes]:
+    """Runs without U+0020 and U+0009 to U+000D as UTF-8, A-Z lower-cased; bytes methods know ASCII only."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return (raw.lower() if lower else raw).split()
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

@@ -17,7 +17,6 @@ is the texts and each block's distinct words, never every token.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,29 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, crc_bucket, written
+from .common import crc_bucket, split_words, written
 
 HELD_OUT = 10
 MARK = "▁"
-END = ""
+END = b""
 ROUNDS = 2
 SMOOTHING = 0.1
+#: Characters of a word from which sums are formed in log space only.
+SHORT = 32
 BLOCK_CHARS = 16_000_000
 LEAST_BLOCKS = 16
 #: Code points that the "any character" event is spread over.
 CHARACTERS = 0x110000
 ANY, STOP, WHOLE = "\0any", "\0end", "\0whole"
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans(UPPER, UPPER.lower())
 LOG10 = math.log(10)
 
 
-def words_of(text: str | None) -> list[str]:
-    text = text or ""
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
-
-
 def first_model(scored: Iterable[tuple[str, float]]) -> dict[str, float]:
     """Log probabilities from a vocabulary's (piece, score): scores are ranks below zero, taken by Zipf's law.
 
@@ -69,21 +63,24 @@ class Lattice:
     def __init__(self, model: dict[str, float], train_tokens: int = 0) -> None:
         self.pieces = {p: v for p, v in model.items() if p not in (ANY, STOP, WHOLE)}
         self.whole = model[WHOLE] - math.log(max(1, train_tokens))
-        self.longest = max(map(len, self.pieces), default=1)
+        # Probabilities of pieces, and 0 for what only begins a piece: a walk ends where nothing goes on.
+        self.paths = {p[:k]: 0.0 for p in self.pieces for k in range(1, len(p))} | {p: math.exp(v) for p, v in self.pieces.items()}
         self.any = model[ANY] - math.log(CHARACTERS)
         self.stop = model[STOP]
 
     def edges(self, text: str) -> list[list[tuple[int, float, str]]]:
         """By end: (start, log probability, piece) of every piece there."""
-        get, n = self.pieces.get, len(text)
+        get, n = self.paths.get, len(text)
         into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             into[i + 1].append((i, self.any, ANY))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for j in range(i + 1, n + 1):
                 piece = text[i:j]
                 p = get(piece)
-                if p is not None:
-                    into[j].append((i, p, piece))
+                if p is None:
+                    break
+                if p:
+                    into[j].append((i, self.pieces[piece], piece))
         return into
 
     def forward(self, into: list[list[tuple[int, float, str]]]) -> list[float]:
@@ -100,26 +97,63 @@ class Lattice:
         return _sum(parts, self.whole + math.log(count)) if count > 0 else parts
 
     def expect(self, word: str, times: int, into_counts: dict[str, float]) -> None:
-        """Add the pieces expected in ``times`` occurrences of a training word that occurs no more."""
-        into = self.edges(MARK + word) if word else []
-        a = self.forward(into)
-        parts = a[-1] if word else self.stop
-        if times > 1:
-            whole = self.whole + math.log(times - 1)
-            share = math.exp(whole - _sum(parts, whole))
-            into_counts[WHOLE] += times * share
-            times *= 1 - share
+        """Add the pieces expected in ``times`` occurrences of a training word that occurs no more.
+
+        Short words are summed over in probabilities, which can't underflow there, longer ones in log space.
+        """
         if not word:
-            into_counts[STOP] += times
-            return
+            into_counts[STOP] += times * self._in_parts(self.stop, times, into_counts)
+        elif len(word) < SHORT:
+            self._expect_short(MARK + word, times, into_counts)
+        else:
+            self._expect_long(MARK + word, times, into_counts)
+
+    def _in_parts(self, parts: float, times: int, into_counts: dict[str, float]) -> float:
+        """The share of occurrences that isn't the whole word's own piece, whose share is added."""
+        if times < 2:
+            return 1.0
+        whole = self.whole + math.log(times - 1)
+        share = math.exp(whole - _sum(parts, whole))
+        into_counts[WHOLE] += times * share
+        return 1 - share
+
+    def _expect_short(self, text: str, times: int, into_counts: dict[str, float]) -> None:
+        get, n, other = self.paths.get, len(text), math.exp(self.any)
+        a = [1.0] + [0.0] * n
+        out: list[list[tuple[int, float, str]]] = []
+        for i in range(n):
+            from_here, x = [], a[i]
+            a[i + 1] += x * other
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                p = get(piece)
+                if p is None:
+                    break
+                if p:
+                    a[j] += x * p
+                    from_here.append((j, p, piece))
+            out.append(from_here)
+        each = times * self._in_parts(math.log(a[n]), times, into_counts) / a[n]
+        back = [0.0] * n + [1.0]
+        for i in range(n - 1, -1, -1):
+            x, total = a[i] * each, other * back[i + 1]
+            into_counts[ANY] += x * total
+            for j, p, piece in out[i]:
+                after = p * back[j]
+                total += after
+                into_counts[piece] += x * after
+            back[i] = total
+
+    def _expect_long(self, text: str, times: int, into_counts: dict[str, float]) -> None:
+        into = self.edges(text)
+        a = self.forward(into)
+        each = times * self._in_parts(a[-1], times, into_counts)
         back = [-math.inf] * len(into)
         back[-1] = 0.0  # log probability of all ways from here to the end
         for j in range(len(into) - 1, 0, -1):
-            if back[j] == -math.inf:
-                continue
             for i, p, piece in into[j]:
                 after = p + back[j]
-                into_counts[piece] += times * math.exp(min(0.0, a[i] + after - parts))
+                into_counts[piece] += each * math.exp(min(0.0, a[i] + after - a[-1]))
                 back[i] = _sum(back[i], after)
 
 
@@ -148,12 +182,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each block with their training counts (0 for words of held-out rows alone)."""
 
-    def out(block: int, counts: Counter[str]) -> Iterator[pa.RecordBatch]:
+    def out(block: int, counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         words = list(counts)
         for k in range(0, len(words), 50_000):
             part = words[k : k + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64())],
+                [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in part], pa.int64())],
                 names=["block", "word", "n"],
             )
 
@@ -164,7 +198,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from out(now, counts)
             now, counts = block, Counter()
         for text, held in zip(rows.column("text"), rows.column("held_out").to_pylist(), strict=True):
-            words = words_of(text.as_py())
+            words = split_words(text.as_py())
             if held:
                 counts.update(dict.fromkeys([*words, END], 0))
             else:
@@ -234,11 +268,11 @@ def score_documents(docs: DataFrame, make_vocabulary: Callable[[], list[tuple[st
     bottom = math.log(n + 0.1 * (v + 1))
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [right.column(c).to_pylist() for c in ("word", "c", "s")]
+        columns = [right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist(), right.column("s").to_pylist()]
         known = {w: (math.log(c + 0.1) - bottom, s, c > 0) for w, c, s in zip(*columns, strict=True)}
         rows = []
         for text in left.column("text"):
-            got = [known[w] for w in words_of(text.as_py())]
+            got = [known[w] for w in split_words(text.as_py())]
             got.append(known[END])
             rows.append(
                 (len(got), sum(g[2] for g in got), n, math.fsum(g[0] for g in got) / LOG10, math.fsum(g[1] for g in got) / LOG10)

@@ -19,7 +19,6 @@ at a similarity of 0.75 that has a probability of 5e-6 for a pair that has no ot
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import split_words, written
 from .components import components
 
 SHINGLE = 5
@@ -43,8 +42,6 @@ BLOCK_DOCS = 2000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 48
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans(UPPER, UPPER.lower())
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _SHIFT, _HALF = np.uint64(33), np.uint64(32)
 _WORDS_KNOWN = 300_000
@@ -64,16 +61,16 @@ def shingle_hasher(size: int = SHINGLE) -> Callable[[str | None], np.ndarray]:
     """A function from a text to the sorted distinct 64-bit hashes of its word shingles."""
     import xxhash
 
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
 
     def hashes(text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").translate(_LOWER) if not (text or "").isascii() else (text or "").lower())
+        words = split_words(text)
         if not words:
             return np.zeros(0, np.uint64)
         if len(known) > _WORDS_KNOWN:
             known.clear()
         for w in {w for w in words if w not in known}:
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array([known[w] for w in words], np.uint64)
         k = min(size, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)

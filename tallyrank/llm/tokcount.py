@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import split_words
+
 #: Distinct words a task remembers the counts of.
 CACHE = 300_000
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_fallback long"
-_BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
 class PieceAutomaton:
@@ -75,11 +76,6 @@ def _bytes(c: str) -> int:
     return len(c.encode("utf-8", "surrogatepass"))
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of characters other than the six ASCII blanks."""
-    return [w for w in text.translate(_BLANKS).split(" ") if w]
-
-
 def sentencepiece_pieces(path: str) -> list[str]:
     """The pieces of a sentencepiece model, without control, unknown and byte pieces."""
     import sentencepiece
@@ -99,15 +95,15 @@ def count_tokens(docs: DataFrame, make_automaton: Callable[[], PieceAutomaton])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = make_automaton()
-        known: dict[str, tuple[int, int]] = {}
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                words = words_of(text.as_py() or "")
+                words = split_words(text.as_py(), lower=False)
                 if len(known) > CACHE:
                     known.clear()
                 for w in {w for w in words if w not in known}:
-                    known[w] = automaton.count(w)
+                    known[w] = automaton.count(w.decode("utf-8", "surrogatepass"))
                 counts = [known[w] for w in words]
                 out.append((len(words), sum(n for n, _ in counts), sum(n for _, n in counts)))
             columns = zip(*out, strict=True) if out else ((), (), ())
