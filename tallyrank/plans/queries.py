@@ -16,16 +16,14 @@ from ..functions import text as t
 from ..functions.vectors import HashEmbedder, l2_normalize
 from ..operators import agent, bm25, dataset, dense, evaluate, explain, gate, prompt, registry, scoring
 from ..sources.manifest import first_present
+from ..sources.tables import read_table as table
+from ..sources.tables import spread
 
 K = 5
 #: Languages that stand for the categories of labelled queries.
 CLEAN, AMBIGUOUS = "en", "fr"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def six(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
@@ -35,7 +33,7 @@ def joined(tokens: Column) -> Column:
 
 
 def documents(spark: SparkSession, d: str, *columns: Column | str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *columns)
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", *columns)
 
 
 # --- text functions ---------------------------------------------------------------------------------
@@ -114,7 +112,7 @@ def score_band(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.document_frequency(table(spark, d, "documents"), "doc_id")
+    return bm25.document_frequency(documents(spark, d, "text"), "doc_id")
 
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +120,7 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d, "text")
     df = bm25.document_frequency(docs, "doc_id").join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
     return df.select("term", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -176,7 +174,7 @@ def minmax_normalize(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str, gold: bool = False) -> tuple[DataFrame, scoring.ItemIndex]:
     index = scoring.build_index(table(spark, d, "benchmark"))
     queries = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("lang").alias("category"))
-    return scoring.score_items(queries, index, gold=gold), index
+    return scoring.score_items(spread(queries), index, gold=gold), index
 
 
 def found(spark: SparkSession, d: str, hybrid: bool, k: int = K, gold: bool = False) -> DataFrame:
