@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import decontam, lm, minhash, packing, secrets, tokcount, topk, toxicity, warc
 from .common import table
 from .line_dedup import dedup_lines
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+    return secrets.find_secrets(documents(spark, sf_dir)).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_literal"
     )
 
@@ -27,18 +32,18 @@ def byte_bpe() -> Callable[[str], bytes]:
 
 
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe)
+    return packing.pack_documents(documents(spark, sf_dir), byte_bpe)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return topk.top_k(docs, docs.where("doc_id % 50 = 0"))
 
 
@@ -49,7 +54,7 @@ def piece_scores() -> list[tuple[str, float]]:
 
 
 def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"), piece_scores)
+    return lm.score_documents(documents(spark, sf_dir), piece_scores)
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +62,12 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id",
         "n_words",
@@ -74,7 +79,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 def piece_automaton() -> tokcount.PieceAutomaton:
@@ -84,7 +89,7 @@ def piece_automaton() -> tokcount.PieceAutomaton:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokcount.count_tokens(table(spark, sf_dir, "documents"), piece_automaton)
+    return tokcount.count_tokens(documents(spark, sf_dir), piece_automaton)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
