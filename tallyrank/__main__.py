@@ -44,7 +44,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             rows = [r.asDict() for r in router.benchmark(manifest.read_queries(spark, args.dataset), args.k).collect()]
             print(evaluate.render_summary(rows))
         case "calibrate":
-            print(evaluate.render_calibration([r.asDict() for r in router.calibrate(manifest.read_queries(spark, args.dataset), args.k).collect()], []))
+            labelled = manifest.read_queries(spark, args.dataset)
+            rows, floor = router.calibrate(labelled, args.k).collect(), router.floor_report(labelled).collect()
+            print(evaluate.render_calibration([r.asDict() for r in rows], [r.asDict() for r in floor]))
         case "dataset":
             manifest.write_queries(router.dataset(args.per_item), args.out, {"items": len(router.rows), "per_item": args.per_item})
         case command:

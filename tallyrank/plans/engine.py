@@ -111,6 +111,22 @@ class Router:
         rows = labelled.join(F.broadcast(names), "correct_item", "left").withColumn("query_id", F.xxhash64("query", "correct_item"))
         return evaluate.gap_sweep(self.retrieve(rows, k, hybrid=False), k=k, score_floor=score_floor)
 
+    def floor_report(self, labelled: DataFrame, out_of_domain: tuple[str, ...] = evaluate.OUT_OF_DOMAIN, k: int = 5) -> DataFrame:
+        """Spread of the best dense score of labelled queries and of queries that no item serves."""
+        queries = labelled.select("query", F.lit(True).alias("in_domain"))
+        foreign = self.queries(*out_of_domain).select("query", F.lit(False).alias("in_domain"))
+        found = self.retrieve(queries.unionByName(foreign), k, hybrid=False)
+        return evaluate.score_floor_report(found.select("in_domain", F.get("candidates", F.lit(0))["score"].alias("top_score")))
+
+    def results_json(self, routed: DataFrame) -> DataFrame:
+        """(query_id, result): each routed row as JSON with names, servers and scores in 6 decimals."""
+        told = F.create_map(*(F.lit(x) for r in self.rows for x in (r["item_id"], f"{r['server']}.{r['name']}")))
+        shown = F.transform(
+            "candidates", lambda c: F.struct(told[c["item_id"]].alias("item"), F.round(c["score"], 6).alias("score"), c["rank"].alias("rank"))
+        )
+        fields = ("query", "mode", "selected_k", F.round("gap", 6).alias("gap"), "reason", "widened", "has_match", shown.alias("items"))
+        return routed.select("query_id", F.to_json(F.struct(*fields)).alias("result"))
+
     def dataset(self, per_item: int = 12, seed: int = dataset.SEED) -> DataFrame:
         return dataset.generate(self.items, per_item, seed)
 
