@@ -20,6 +20,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,9 +94,29 @@ class Lattice:
 
     def score(self, word: str, count: int = 0) -> float:
         """Log probability of a word that training has ``count`` times; of the end for an empty one."""
-        parts = self.forward(self.edges(MARK + word))[-1] if word else self.stop
+        if not word:
+            parts = self.stop
+        elif len(word) < SHORT:
+            parts = math.log(self._total(MARK + word))
+        else:
+            parts = self.forward(self.edges(MARK + word))[-1]
         return _sum(parts, self.whole + math.log(count)) if count > 0 else parts
 
+    def _total(self, text: str) -> float:
+        """Probability of a short text, which can't underflow: the forward recursion without logs."""
+        get, n, other = self.paths.get, len(text), math.exp(self.any)
+        a = [1.0] + [0.0] * n
+        for i in range(n):
+            x = a[i]
+            a[i + 1] += x * other
+            for j in range(i + 1, n + 1):
+                p = get(text[i:j])
+                if p is None:
+                    break
+                if p:
+                    a[j] += x * p
+        return a[n]
+
     def expect(self, word: str, times: int, into_counts: dict[str, float]) -> None:
         """Add the pieces expected in ``times`` occurrences of a training word that occurs no more.
 
@@ -269,14 +290,13 @@ def score_documents(docs: DataFrame, make_vocabulary: Callable[[], list[tuple[st
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         columns = [right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist(), right.column("s").to_pylist()]
-        known = {w: (math.log(c + 0.1) - bottom, s, c > 0) for w, c, s in zip(*columns, strict=True)}
+        place = {w: k for k, w in enumerate(columns[0])}
+        count = np.array(columns[1], float)
+        known, base, full = count > 0, np.log(count + 0.1) - bottom, np.array(columns[2], float)
         rows = []
         for text in left.column("text"):
-            got = [known[w] for w in split_words(text.as_py())]
-            got.append(known[END])
-            rows.append(
-                (len(got), sum(g[2] for g in got), n, math.fsum(g[0] for g in got) / LOG10, math.fsum(g[1] for g in got) / LOG10)
-            )
+            at = np.array([*map(place.__getitem__, split_words(text.as_py())), place[END]])
+            rows.append((len(at), int(known[at].sum()), n, float(base[at].sum()) / LOG10, float(full[at].sum()) / LOG10))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         numbers = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
