@@ -2,7 +2,9 @@
 
 The pieces and their first scores come from an existing vocabulary. A text is its words, each
 behind a word mark, and one end; every way to segment it into pieces counts, weighted by the
-product of piece probabilities, and a forward recursion in log space sums over them. Each word seen in
+product of piece probabilities, and a forward recursion sums over them: in log space for words of SHORT
+characters or more, and for shorter ones in plain probabilities wherever their sum is at least LEAST, else
+(many unknown characters) in log space too. Each word seen in
 training is one more piece, over all of the word. Two rounds of expected counts over all training
 documents fit the pieces' probabilities and the share of whole words to the corpus (a word's own
 occurrence left out of its count, so that rare words leave mass to pieces). All pieces, one
@@ -34,6 +36,9 @@ ROUNDS = 2
 SMOOTHING = 0.1
 #: Characters of a word from which sums are formed in log space only.
 SHORT = 32
+#: Least sum of a shorter word that is taken from plain probabilities. What passes through a point where they get
+#: lost or lose digits (under 2.3e-308) is at most that much, as no sum over a rest is above 1.
+LEAST = 1e-280
 BLOCK_CHARS = 16_000_000
 LEAST_BLOCKS = 16
 #: Code points that the "any character" event is spread over.
@@ -94,16 +99,17 @@ class Lattice:
 
     def score(self, word: str, count: int = 0) -> float:
         """Log probability of a word that training has ``count`` times; of the end for an empty one."""
+        total = self._total(MARK + word) if 0 < len(word) < SHORT else 0.0
         if not word:
             parts = self.stop
-        elif len(word) < SHORT:
-            parts = math.log(self._total(MARK + word))
+        elif total >= LEAST:
+            parts = math.log(total)
         else:
             parts = self.forward(self.edges(MARK + word))[-1]
         return _sum(parts, self.whole + math.log(count)) if count > 0 else parts
 
     def _total(self, text: str) -> float:
-        """Probability of a short text, which can't underflow: the forward recursion without logs."""
+        """Probability of a short text: the forward recursion without logs. Good from LEAST on; may be 0 below."""
         get, n, other = self.paths.get, len(text), math.exp(self.any)
         a = [1.0] + [0.0] * n
         for i in range(n):
@@ -120,7 +126,7 @@ class Lattice:
     def expect(self, word: str, times: int, into_counts: dict[str, float]) -> None:
         """Add the pieces expected in ``times`` occurrences of a training word that occurs no more.
 
-        Short words are summed over in probabilities, which can't underflow there, longer ones in log space.
+        Short words are summed over in probabilities, longer ones and those whose sum is under LEAST in log space.
         """
         if not word:
             into_counts[STOP] += times * self._in_parts(self.stop, times, into_counts)
@@ -154,6 +160,9 @@ class Lattice:
                     a[j] += x * p
                     from_here.append((j, p, piece))
             out.append(from_here)
+        if a[n] < LEAST:
+            self._expect_long(text, times, into_counts)
+            return
         each = times * self._in_parts(math.log(a[n]), times, into_counts) / a[n]
         back = [0.0] * n + [1.0]
         for i in range(n - 1, -1, -1):

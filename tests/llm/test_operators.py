@@ -292,6 +292,18 @@ def test_lattice_sums_all_segmentations():
         assert covered == pytest.approx(len(word) + 1)
 
 
+@pytest.mark.parametrize("word", ["\uff21" * n for n in (17, 19, 20, 25, 31)] + ["\u25c7" * 24, "the" + "\uff21" * 25, "\uff21" * 26 + "ing", "ഇന്ത്യയിലെയുംകേരളത്തിലെയും"])
+def test_short_words_of_unknown_characters(monkeypatch, word):
+    lattice = lm.Lattice(lm.first_model(queries.piece_scores()))
+    got, counts = [lattice.score(word, c) for c in (0, 3)], defaultdict(float)
+    lattice.expect(word, 3, counts)
+    monkeypatch.setattr(lm, "SHORT", 0)
+    want, expected = [lattice.score(word, c) for c in (0, 3)], defaultdict(float)
+    lattice.expect(word, 3, expected)
+    assert got == pytest.approx(want, rel=1e-12) and all(map(math.isfinite, got))
+    assert counts == pytest.approx(expected, rel=1e-9, abs=1e-200) and sum(counts.values()) > 0
+
+
 def test_model_sums_to_one():
     assert sum(map(math.exp, lm.first_model(PIECES_SCORED).values())) == pytest.approx(1)
 
