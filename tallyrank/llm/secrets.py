@@ -104,25 +104,36 @@ def ordered(spans: Iterable[Span]) -> list[Span]:
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach a sensitive name, directly, through a constant or in a concatenation.
 
-    A constant stands for the literals last assigned to its name further up in the text.
+    A constant stands for the literals last assigned to its name further up in the text, all of them. An
+    assignment holds its own literals and refers to those of its constants, so chains take linear room; each is
+    walked again only for a name of more weight than before.
     """
-    constants: dict[str, tuple[tuple[int, int], ...]] = {}
+    constants: dict[str, int] = {}
+    nodes: list[tuple[list[tuple[int, int]], list[int]]] = []
+    walked: dict[int, float] = {}
     found: dict[tuple[int, int], None] = {}
     for pair in _PAIR.finditer(text):
-        at, parts = pair.start("value"), []
+        at, parts, parents = pair.start("value"), [], []
         for term in _TERM.finditer(pair["value"]):
             if term.group(3) is not None:
                 known = constants.get(term[3])
-                parts += known if known is not None else ()
-                if known is None and term.end() - term.start() == len(pair["value"]):
+                if known is not None:
+                    parents.append(known)
+                elif term.end() - term.start() == len(pair["value"]):
                     parts.append((at + term.start(), at + term.end()))  # a bare value of a shell or YAML file
             else:
                 k = next(i for i in (1, 2, 4) if term.group(i) is not None)
                 parts.append((at + term.start(k), at + term.end(k)))
-        constants[pair["name"]] = tuple(dict.fromkeys(parts))[:64]
+        constants[pair["name"]] = len(nodes)
+        nodes.append((parts, list(dict.fromkeys(parents))))
         weight = name_score(pair["name"])
-        if weight > 0:
-            found |= {p: None for p in constants[pair["name"]] if weight * literal_score(text[p[0] : p[1]]) >= threshold}
+        rest = [len(nodes) - 1]
+        while rest:
+            node = rest.pop()
+            if weight > walked.get(node, 0.0):
+                walked[node] = weight
+                found |= {p: None for p in nodes[node][0] if weight * literal_score(text[p[0] : p[1]]) >= threshold}
+                rest += nodes[node][1]
     return ordered(Span("literal", *p) for p in found)
 
 

@@ -98,6 +98,16 @@ def test_lexer_follows_constants():
         assert not [s for s in secrets.scan(clean)[1] if s.kind == "literal"]
 
 
+def test_lexer_keeps_all_literals():
+    literals = [hashlib.md5(str(k).encode()).hexdigest()[:14] + "zQ" for k in range(200)]
+    joined = "passphrase = " + " + ".join(f'"{x}"' for x in literals)
+    chain = "".join(f'k{k} = {f"k{k - 1} + " if k else ""}"{x}"\n' for k, x in enumerate(literals)) + "passphrase = k199"
+    for text in (joined, chain):
+        assert [text[s.start : s.end] for s in secrets.scan(text)[1]] == literals
+    secrets.lexed_spans('passphrase = passphrase + "x9fJ3kQz7Lp2"\n' * 10_000)
+    secrets.lexed_spans("a = 'x'\n" + "a = a + a + a\n" * 5_000 + "passphrase = a\n" * 5_000)
+
+
 def test_lexer_is_linear():
     secrets.scan("a" * 300_000 + "=")
     secrets.scan("a=" * 100_000)
