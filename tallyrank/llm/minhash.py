@@ -5,7 +5,10 @@
 2. Under each of PERMUTATIONS hash functions both the minimum and the maximum are kept, so the
    signature has twice as many values as functions. Bands of ROWS values give buckets.
 3. Members of a bucket are compared by signature in bounded blocks; what is close enough becomes a
-   spanning forest of edges, never all pairs. Their components are the groups.
+   spanning forest of edges, never all pairs. First each block by itself with some pivots that all blocks of the
+   bucket hold; then members that this didn't tie to the bucket's main tree against all others, a pair of
+   blocks at a time. So a bucket of copies costs linear work, one of unlike documents the square of its size.
+   The components of the edges are the groups.
 4. Within each group all documents are compared in bounded blocks, with their whole sets, and links
    (100 * intersection >= 75 * union) are confirmed exactly, those inside a known component
    skipped. First each block by itself with some pivots that all blocks of the group hold; then documents outside
@@ -238,6 +241,24 @@ def _by_task(df: DataFrame) -> DataFrame:
     return df.repartition("task").sortWithinPartitions("task")
 
 
+def across(members: DataFrame) -> DataFrame:
+    """``task``, doc_id and sig: pairs of blocks of each bucket, where each member outside the main ``known`` meets all others."""
+    main = (
+        members.groupBy("bucket", "known").agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("bucket").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.sum("size").alias("docs"), F.max("size").alias("tied"))
+        .where("docs > tied")
+        .select("bucket", "main", *(F.ceil(n / BLOCK_DOCS).cast("int").alias(c) for c, n in (("inner", F.col("tied")), ("outer", F.col("docs") - F.col("tied")))))
+    )
+    loose = F.col("known") != F.col("main")
+    own = F.pmod(F.xxhash64("doc_id", F.lit("across")), F.when(loose, F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    outer, inner = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("outer", "inner"))
+    with_outer = F.transform(outer, lambda b: F.xxhash64("bucket", F.lit("outer"), F.least("own", b), F.greatest("own", b)))
+    with_inner = F.transform(inner, lambda b: F.xxhash64("bucket", F.lit("inner"), F.col("own"), b))
+    of_inner = F.transform(outer, lambda b: F.xxhash64("bucket", F.lit("inner"), b, F.col("own")))
+    pairs = F.when(loose, F.concat(with_outer, with_inner)).otherwise(of_inner)
+    return members.join(main, "bucket").withColumn("own", own).select(F.explode(pairs).alias("task"), "doc_id", "sig")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row.
 
@@ -257,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         "representatives",
     )
     places = reps.select("doc_id", "set_id", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
     pivot = (blocks > 1) & (F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("n")) < PIVOTS)
     members = (
@@ -273,8 +294,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         )
         .join(reps.select("doc_id", "set_id", "sig"), ["doc_id", "set_id"])
     )
-    near = _by_task(members.select("task", "doc_id", "sig")).mapInArrow(group_edges, "a long, b long")
+    near = written(_by_task(members.select("task", "doc_id", "sig")).mapInArrow(group_edges, "a long, b long"), "near")
     roots = components(near)
+    large = shared.where(F.col("n") > BLOCK_DOCS)
+    if not large.isEmpty():
+        apart = (
+            places.join(large, "bucket").join(roots, F.col("doc_id") == F.col("node"), "left")
+            .select("bucket", "doc_id", "set_id", F.coalesce("root", "doc_id").alias("known"))
+            .join(reps.select("doc_id", "set_id", "sig"), ["doc_id", "set_id"])
+        )
+        rest = _by_task(across(written(apart, "large-buckets"))).mapInArrow(group_edges, "a long, b long")
+        roots = components(near.unionByName(rest))
     grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

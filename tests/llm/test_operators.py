@@ -482,6 +482,17 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows), key=repr)
 
 
+def test_hot_passage_among_unlike_documents(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 1)
+    monkeypatch.setattr(minhash, "PIVOTS", 0)
+    rows = []
+    for p in range(4):
+        passage = " ".join(f"p{p}x{k}" for k in range(60))
+        rows += [(i, f"{passage} " + " ".join(f"d{i}x{k}" for k in range(8 if i % 400 in (150, 301) else 60))) for i in range(400 * p, 400 * p + 400)]
+    got = minhash.near_duplicates(docs_of(spark, rows))
+    assert rows_of(got.where(~F.col("kept")), "doc_id", "component_id") == sorted([(400 * p + 301, 400 * p + 150) for p in range(4)], key=repr)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(docs_of(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (4, "a b c d e f")]))
     assert rows_of(got, "doc_id", "component_id", "kept") == [(4, 4, True), (5, 4, False), (5, 4, False), (None, None, True)]
