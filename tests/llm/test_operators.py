@@ -9,6 +9,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -375,27 +376,79 @@ def test_reader_frames_and_verifies():
 # --- 7: toxicity ------------------------------------------------------------------------------------
 
 
-def test_matcher_folds_and_spares():
-    hits = toxicity.Matcher(toxicity.LEXICON).hits
-    assert hits("You 1D10T, сlоwn!") == Counter(["idiot", "clown"])
-    assert hits("a clown fish near the trash can") == Counter()
-    assert hits("clownish 10 455 0 moronic") == Counter(["moronic"])
-    assert hits("ldlot") == Counter() and hits("") == Counter() and hits("ＩＤＩＯＴ") == Counter(["idiot"])
+def brute_hits(text, words, stems, exceptions):
+    """By each word start: the whole word, or the longest stem that the word goes beyond."""
+    folded, out = toxicity.fold(text), Counter()
+    alnum = lambda k: 0 <= k < len(text) and text[k].isalnum()
+    enough = lambda a, b: 3 * sum(c.isalpha() for c in text[a:b]) >= b - a
+    spared = [(a, a + len(e)) for e in map(toxicity.fold, exceptions) for a in range(len(text)) if folded.startswith(e, a) and not alnum(a - 1) and not alnum(a + len(e))]
+    for a in range(len(text)):
+        if alnum(a - 1):
+            continue
+        whole = [(len(w), w, True) for w in words if folded.startswith(w, a) and not alnum(a + len(w)) and enough(a, a + len(w))]
+        begun = [(len(t), t, False) for t in stems if folded.startswith(t, a) and alnum(a + len(t)) and enough(a, a + len(t))]
+        if found := max(whole, default=None) or max(begun, default=None):
+            if not any(x <= a and a + found[0] <= y for x, y in spared):
+                out[found[1:]] += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "Id1ot", "!diоt", "idiots", "trash", "tra$h", " can", " ", ",", "s", "3", "$$$", "loser", "L0SER", "1115", "ｔｒａｓｈ", "é"]), max_size=12).map("".join))
+def test_matcher(text):
+    words, stems = [toxicity.fold(w) for w in ("idiot", "trash", "loser")], [toxicity.fold(w) for w in ("idio", "idiot", "los")]
+    assert toxicity.Matcher(words, stems, ("trash can",)).hits(text) == brute_hits(text, words, stems, ("trash can",))
+
+
+def test_matcher_cases():
+    hits = lambda text: sum(toxicity.Matcher(toxicity.first_model().words).hits(text).values())
+    for text in ("you IDIOT!", "id1ot", "ＩＤＩＯＴ", "іdіоt", "!diot", "$tupid.", "l0ser", "idiot$$$"):
+        assert hits(text) == 1, text
+    for text in ("idiotproofx", "in the trash can", "1115", "", "a garbage collector"):
+        assert hits(text) == 0, text
+    began = time.perf_counter()
+    assert hits("trash can " * 100_000) == 0 and hits("trash, can " * 100_000) == 100_000
+    assert time.perf_counter() - began < 10  # one pass: the square would take hours
+
+
+def test_lexicon_is_learned(spark):
+    """Words and stems of no list are found from labels; copies of one text count once."""
+    rng = random.Random(17)
+    plain = [f"{a}{b}" for a in ("ta", "ro", "mi", "nel", "kor") for b in ("ba", "di", "lus", "mon", "pe", "sta", "vik")]
+    text = lambda i, *more: " ".join([*(rng.choice(plain) for _ in range(40)), *more, str(i)])
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        rows.append((i, text(i, "zorgle", rng.choice(["quab", "quab"]) + rng.choice(plain)) if bad else text(i, "quab" if i % 9 == 0 else "calm")))
+        labels.append((i, int(bad)))
+    copied = text(0, "harmless", "mention", "here")
+    rows += [(1000 + k, copied) for k in range(200)]
+    labels += [(1000 + k, 1) for k in range(200)]
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zorgie" in model.words and model.stems and all(s.startswith("quab") for s in model.stems)
+    assert not {"harmiess", "mention", "here", "caim"} & set(model.words)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs_of(spark, rows), model).collect()}
+    wrong = [i for i, y in labels[:600] if got[i]["predicted"] != y]
+    assert not wrong
+    unseen = [(1, text(1, "quabzzz", "quabyyy")), (2, text(2, "z0rgle")), (3, text(3, "quab")), (4, text(4))]
+    assert [r["predicted"] for r in sorted(toxicity.score_documents(docs_of(spark, unseen), model).collect())] == [1, 1, 0, 0]
 
 
 def test_toxicity(spark):
-    rng = random.Random(7)
-    plain = lambda: " ".join(rng.choice(["river", "tree", "house", "walk"]) for _ in range(rng.randrange(5, 60)))
-    rows = [(i, plain() + (" you idiot " + plain() + " moron" if i % 4 == 0 else "")) for i in range(400)]
+    rows = [(i, "a calm text about birds and trees " * 3 + ("you idiot and moron" if i % 4 == 0 else f"number {i}") + f" {i} {i * i}") for i in range(400)]
+    rows += [(1001, None), (1002, ""), (1003, "idiot " * 40_000), (None, "you moron"), (1, rows[1][1])]
+    docs = docs_of(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    docs = docs_of(spark, rows + [(1001, None), (1002, ""), (1003, "idiot " * 20_000), (None, "tree")])
+    labels = labels.unionByName(labels.limit(3))
     model = toxicity.train(docs, labels)
     got = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
-    assert all(got[i]["predicted"] == (i % 4 == 0) for i in range(400))
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
     assert got[1001]["score"] == got[1002]["score"] < 0.5 < got[1003]["score"] <= 1 and not got[None]["held_out"]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
+    assert toxicity.score_documents(docs, model).count() == len(rows)
     clean = toxicity.keep_clean(docs, model)
     assert clean.columns == docs.columns and clean.count() == 303
+    assert toxicity.train(docs, labels.where("toxic = 0")) == toxicity.first_model()
     assert toxicity.score_documents(docs_of(spark, []), toxicity.train(docs_of(spark, []), labels.limit(0))).count() == 0
 
 
