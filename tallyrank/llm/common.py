@@ -27,6 +27,18 @@ def split_words(text: str | None, lower: bool = True) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+def uncovered(spans: list[tuple[int, int]], covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (start, end) that lie in none of ``covers``; both sorted by start, in one pass."""
+    out, k, reach = [], 0, -1
+    for start, end in spans:
+        while k < len(covers) and covers[k][0] <= start:
+            reach = max(reach, covers[k][1])
+            k += 1
+        if end > reach:
+            out.append((start, end))
+    return out
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
@@ -47,6 +59,27 @@ def unfolded(columns: list[str]) -> list[Column]:
     return [F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in columns]
 
 
+#: Keys that are broadcast in a join, at most: each has over a HEAVY-th of all rows.
+HEAVY = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str, total: int, row: Column) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` on the column ``on``, with the other columns of ``right`` (null without a match).
+
+    ``right`` has each key once, with the number of its rows in ``left`` in column ``n``; ``total`` is the number of all those rows. So
+    at most HEAVY keys have more than total / HEAVY rows: those are broadcast and their rows stay where they
+    are, and only lighter keys are joined by a shuffle. Rows with a heavy or null key are dealt out by ``row``.
+    """
+    values = [c for c in right.columns if c != on]
+    limit = max(1, total // HEAVY)
+    side = lambda df, key, value: df.select(F.col(on).alias(key), F.struct(*values).alias(value))
+    heavy, light = side(right.where(F.col(n) > limit), "_heavy", "_of_heavy"), side(right.where(F.col(n) <= limit), "_light", "_of_light")
+    first = left.join(F.broadcast(heavy), F.col(on) == F.col("_heavy"), "left")
+    first = first.withColumn("_key", F.when(F.col("_heavy").isNull(), F.col(on))).withColumn("_deal", F.when(F.col("_key").isNull(), F.xxhash64(row)).otherwise(0))
+    second = first.join(light.withColumn("_dealt", F.lit(0).cast("long")), (F.col("_key") == F.col("_light")) & (F.col("_deal") == F.col("_dealt")), "left")
+    return second.select(*(F.col(c) for c in left.columns), *(F.coalesce(F.col("_of_heavy")[c], F.col("_of_light")[c]).alias(c) for c in values))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -19,6 +19,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import uncovered
+
 # The three base patterns and the least length of each.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -80,7 +82,7 @@ def name_score(name: str) -> float:
 
 
 def literal_score(literal: str) -> float:
-    """Bits a character over four, at most 1; 0 for short, spaced or placeholder values."""
+    """Bits a character over three, at most 1; 0 for short, spaced or placeholder values."""
     low = literal.lower()
     if len(literal) < LEAST["literal"] or re.search(r"\s", literal) or any(p in low for p in PLACEHOLDERS):
         return 0.0
@@ -143,7 +145,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base, base
-    more = [s for s in lexed_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    more = [Span("literal", *p) for p in uncovered([s[1:] for s in lexed_spans(text)], [s[1:] for s in base])]
     return base, ordered([*base, *more]) if more else base
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, written
+from .common import crc_bucket, uncovered, written
 
 # Terms of abuse, known before any label.
 LEXICON = (
@@ -160,23 +160,11 @@ class Matcher:
             if kind & 4:
                 spared.append((start, end))
         if spared:
-            left = _outside(sorted((a, x[0]) for a, x in found.items()), sorted(spared))
-            found = {a: x for a, x in found.items() if a in left}
+            left = uncovered(sorted((a, x[0]) for a, x in found.items()), sorted(spared))
+            found = {a: found[a] for a, _ in left}
         return Counter((entry, whole) for _, whole, entry in found.values())
 
 
-def _outside(spans: list[tuple[int, int]], spared: list[tuple[int, int]]) -> set[int]:
-    """Starts of the spans that no spared span holds; both sorted, in one pass."""
-    out, k, reach = set(), 0, -1
-    for start, end in spans:
-        while k < len(spared) and spared[k][0] <= start:
-            reach = max(reach, spared[k][1])
-            k += 1
-        if end > reach:
-            out.add(start)
-    return out
-
-
 def _lettered(raw: str) -> bool:
     """At least a third of the characters are letters, so that numbers aren't read as words."""
     return 3 * sum(map(str.isalpha, raw)) >= len(raw)
