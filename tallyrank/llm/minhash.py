@@ -12,9 +12,12 @@
 4. Within each group all documents are compared in bounded blocks, with their whole sets, and links
    (100 * intersection >= 75 * union) are confirmed exactly, those inside a known component
    skipped. First each block by itself with some pivots that all blocks of the group hold; then documents outside
-   the group's main component against every block. So a group of copies costs linear work.
+   the group's main component against all others, a pair of blocks at a time. So a group of copies costs linear work and no
+   task holds more than two blocks.
 5. Components of the confirmed links are the result.
 
+Keys that may hold much of the corpus (a set's copies, a bucket, a group) are joined with their heaviest values broadcast.
+
 A link is missed only if no band ties its documents to one group, or their signatures agree too little: with 32
 bands of 4 values at a similarity of 0.75 that has a probability of 5.2e-6 for no common band and 6.7e-5 for an
 agreement under GROUPED, at most 7.2e-5 together, for a pair that has no other neighbour.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, written
+from .common import join_skewed, split_words, written
 from .components import components
 
 SHINGLE = 5
@@ -113,6 +116,10 @@ def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((many == one).mean(axis=1) * 256 - 1) / 255
 
 
+def _set_id(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_id (null for empty sets or ids), sig and bands of each row."""
 
@@ -127,7 +134,7 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     ids.append(None), sigs.append(None), bands.append(None)
                     continue
                 v = signature(s)
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                ids.append(_set_id(s.tobytes()))
                 sigs.append(short(v))
                 bands.append(band_keys(v))
             yield pa.RecordBatch.from_arrays(
@@ -243,12 +250,19 @@ def _by_task(df: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """``task``, doc_id and sig: pairs of blocks of each bucket, where each member outside the main ``known`` meets all others."""
+    """The members, each once a ``task``: pairs of blocks of a bucket, where each member outside the main ``known`` meets all others.
+
+    ``weight`` is a member's number of shingles, if those are compared; a block has at most about BLOCK_DOCS members and
+    BLOCK_SHINGLES shingles, and no task more than two blocks.
+    """
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     main = (
-        members.groupBy("bucket", "known").agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("bucket").agg(F.max_by("known", F.struct("size", "known")).alias("main"), F.sum("size").alias("docs"), F.max("size").alias("tied"))
-        .where("docs > tied")
-        .select("bucket", "main", *(F.ceil(n / BLOCK_DOCS).cast("int").alias(c) for c, n in (("inner", F.col("tied")), ("outer", F.col("docs") - F.col("tied")))))
+        members.groupBy("bucket", "known").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("w"))
+        .groupBy("bucket").agg(
+            F.max_by(F.struct("known", "size", "w"), F.struct("size", "known")).alias("m"), F.sum("size").alias("docs"), F.sum("w").alias("all_w")
+        )
+        .where("docs > m.size")
+        .select("bucket", "docs", F.col("m.known").alias("main"), blocks(F.col("m.size"), F.col("m.w")).alias("inner"), blocks(F.col("docs") - F.col("m.size"), F.col("all_w") - F.col("m.w")).alias("outer"))
     )
     loose = F.col("known") != F.col("main")
     own = F.pmod(F.xxhash64("doc_id", F.lit("across")), F.when(loose, F.col("outer")).otherwise(F.col("inner"))).cast("int")
@@ -257,22 +271,27 @@ def across(members: DataFrame) -> DataFrame:
     with_inner = F.transform(inner, lambda b: F.xxhash64("bucket", F.lit("inner"), F.col("own"), b))
     of_inner = F.transform(outer, lambda b: F.xxhash64("bucket", F.lit("inner"), b, F.col("own")))
     pairs = F.when(loose, F.concat(with_outer, with_inner)).otherwise(of_inner)
-    return members.join(main, "bucket").withColumn("own", own).select(F.explode(pairs).alias("task"), "doc_id", "sig")
+    joined = join_skewed(members, main, "bucket", "docs", members.count(), F.col("doc_id")).where("main IS NOT NULL")
+    return joined.withColumn("own", own).select(F.explode(pairs).alias("task"), *(c for c in members.columns if c not in ("bucket", "weight")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, among: DataFrame | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per input row.
 
     ``docs`` has doc_id and text; other columns are not read. Words are runs without ASCII blanks, A-Z lower-cased; a
     text with fewer than ``shingle`` words is one shingle. Documents whose sets have a Jaccard
-    similarity of ``percent`` / 100 or more are linked; component_id is the smallest doc_id reachable.
+    similarity of ``percent`` / 100 or more are linked; component_id is the smallest doc_id reachable. With
+    ``among`` (doc_id, each once) only rows of those ids count and are returned.
 
-    Null, empty and blank texts have the empty set and are linked with nothing. Rows that repeat a
-    doc_id are placed row by row. A row with a null doc_id is a component by itself, with a null
+    Null, empty and blank texts have the empty set and are linked with nothing. Of rows that repeat a
+    doc_id those with equal sets get one component; a doc_id with unlike texts is one document that is linked with all
+    that one of them is. A row with a null doc_id is a component by itself, with a null
     component_id, and kept. An empty table gives an empty table.
     """
-    rows = written(profiles(docs, shingle), "profiles")
-    classes = rows.where("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    found = profiles(docs, shingle)
+    rows = written(found if among is None else found.join(among.select("doc_id"), "doc_id", "left_semi"), "profiles")
+    total = rows.count()
+    classes = rows.where("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = written(
         rows.join(classes, (rows["set_id"] == classes["set_id"]) & (rows["doc_id"] == classes["rep"]), "left_semi")
         .dropDuplicates(["doc_id", "set_id"]),
@@ -280,11 +299,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     places = reps.select("doc_id", "set_id", F.explode("bands").alias("bucket"))
     shared = written(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    in_buckets = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = join_skewed(places, shared, "bucket", "n", in_buckets, F.col("doc_id")).where("n IS NOT NULL")
     blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
     pivot = (blocks > 1) & (F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("n")) < PIVOTS)
     members = (
-        places.join(shared, "bucket")
-        .withColumn("blocks", blocks)
+        placed.withColumn("blocks", blocks)
         .select(
             "doc_id", "set_id",
             F.explode(
@@ -297,23 +317,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     near = written(_by_task(members.select("task", "doc_id", "sig")).mapInArrow(group_edges, "a long, b long"), "near")
     roots = components(near)
-    large = shared.where(F.col("n") > BLOCK_DOCS)
-    if not large.isEmpty():
+    if not shared.where(F.col("n") > BLOCK_DOCS).isEmpty():
         apart = (
-            places.join(large, "bucket").join(roots, F.col("doc_id") == F.col("node"), "left")
-            .select("bucket", "doc_id", "set_id", F.coalesce("root", "doc_id").alias("known"))
+            placed.where(F.col("n") > BLOCK_DOCS).join(roots, F.col("doc_id") == F.col("node"), "left")
+            .select("bucket", "doc_id", "set_id", F.coalesce("root", "doc_id").alias("known"), F.lit(0).cast("long").alias("weight"))
             .join(reps.select("doc_id", "set_id", "sig"), ["doc_id", "set_id"])
         )
-        rest = _by_task(across(written(apart, "large-buckets"))).mapInArrow(group_edges, "a long, b long")
+        rest = _by_task(across(written(apart, "large-buckets"))).select("task", "doc_id", "sig").mapInArrow(group_edges, "a long, b long")
         roots = components(near.unionByName(rest))
     grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = shingle_hasher(shingle)
         for batch in batches:
-            sets = pa.array([hashes(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            sets = [hashes(t.as_py()).tobytes() for t in batch.column("text")]
+            # A doc_id that repeats has met the sets of all its texts here: each text goes on with its own.
+            own = pa.array([_set_id(s) == i for s, i in zip(sets, batch.column("set_id").to_pylist(), strict=True)], pa.bool_())
             names = ["doc_id", "grp", "set_id", "sig", "shingles"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), sets], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(sets, pa.binary())], names=names).filter(own)
 
     chosen = reps.join(grouped, reps["doc_id"] == grouped["node"]).select(reps["doc_id"].alias("id"), "set_id", "sig", F.col("root").alias("grp"))
     own = docs.select("doc_id", "text")
@@ -321,41 +342,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         own.join(chosen, own["doc_id"] == chosen["id"])
         .select("doc_id", "text", "grp", "set_id", "sig")
         .mapInArrow(with_sets, "doc_id long, grp long, set_id binary, sig binary, shingles binary")
-        .withColumn("n", F.length("shingles") / 8),
+        .withColumn("n", (F.length("shingles") / 8).cast("long")),
         "sets",
     )
     sizes = sets.groupBy("grp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         F.count(F.lit(1)).alias("docs"),
     )
-    placed = sets.join(sizes, "grp")
+    placed = join_skewed(sets, sizes, "grp", "docs", sets.count(), F.col("doc_id"))
     own_block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int")
     every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
     is_pivot = F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.col("docs")) < PIVOTS
     links = confirmed_links(percent)
-
-    def tasks(df: DataFrame, everywhere: F.Column) -> DataFrame:
-        block = F.explode(F.when(everywhere, every_block).otherwise(F.array(own_block))).alias("block")
-        return _by_task(
-            df.select("grp", "doc_id", "known", "sig", "shingles", block).select(
-                F.xxhash64("grp", "block").alias("task"), "grp", "doc_id", "known", "sig", "shingles"
-            )
-        ).mapInArrow(links, "a long, b long")
-
-    first = written(tasks(placed.withColumn("known", F.col("doc_id")), is_pivot), "links")
-    large = placed.where("blocks > 1")
-    roots = components(first)
-    named = large.join(roots, large["doc_id"] == roots["node"], "left").withColumn("known", F.coalesce("root", "doc_id"))
-    main = (
-        named.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("size"))
-        .groupBy(F.col("grp").alias("of")).agg(F.max_by("known", F.struct("size", "known")).alias("main"))
-    )
-    second = tasks(named.join(main, F.col("grp") == F.col("of")), F.col("known") != F.col("main"))
-    final = components(first.unionByName(second))
-    labels = classes.join(final, F.col("rep") == F.col("node"), "left").select(
-        F.col("set_id").alias("class"), F.coalesce("root", "rep").alias("label")
+    columns = ("task", "grp", "doc_id", "known", "sig", "shingles")
+    first = written(
+        _by_task(
+            placed.withColumn("block", F.explode(F.when(is_pivot, every_block).otherwise(F.array(own_block))))
+            .select(F.xxhash64("grp", "block").alias("task"), "grp", "doc_id", F.col("doc_id").alias("known"), "sig", "shingles")
+        ).mapInArrow(links, "a long, b long"),
+        "links",
     )
+    final = components(first)
+    large = placed.where("blocks > 1")
+    if not large.isEmpty():
+        named = large.join(final, large["doc_id"] == final["node"], "left").select(
+            F.col("grp").alias("bucket"), "grp", "doc_id", F.coalesce("root", "doc_id").alias("known"), "sig", "shingles", F.col("n").alias("weight")
+        )
+        second = _by_task(across(written(named, "large-groups"))).select(*columns).mapInArrow(links, "a long, b long")
+        final = components(first.unionByName(second))
+    labels = classes.join(final, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("label"), "copies")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return rows.join(labels, F.col("set_id") == F.col("class"), "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    told = join_skewed(rows.select("doc_id", "n_shingles", "set_id"), labels, "set_id", "copies", total, F.col("doc_id"))
+    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
