@@ -2,7 +2,8 @@
 
 Lines are exploded as 128-bit hashes of their normalised keys (never as text), documents are
 counted per hash with map-side partial sums, and the positions of dropped lines come back to
-their document in one equi-join. Only that last join moves text, once.
+their document in one equi-join. Only that last join moves text, once. The most common lines are looked up in a broadcast of
+at most HEAVY keys, so no line gathers its documents in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, folded, unfolded
+from .common import BLANKS, ascii_lower, folded, join_skewed, unfolded, written
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -49,11 +50,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     spread = F.count_distinct("doc_id") if min_docs > 2 else F.when(F.min("doc_id") != F.max("doc_id"), 2).otherwise(1)
     common = (
         lines.groupBy(F.col("_key").alias("_common"))
-        .agg(F.min("doc_id").alias("_keeper"), spread.alias("_docs"))
+        .agg(F.min("doc_id").alias("_keeper"), spread.alias("_docs"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_docs") >= min_docs)
+        .select(F.col("_common").alias("_line"), "_keeper", "_n")
     )
+    common = written(common, "common-lines")
+    total = common.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     dropped = (
-        lines.join(common, (F.col("_key") == F.col("_common")) & (F.col("doc_id") != F.col("_keeper")))
+        join_skewed(lines.withColumnRenamed("_key", "_line"), common, "_line", "_n", total, F.col("doc_id"))
+        .where(F.col("doc_id") != F.col("_keeper"))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("_row").alias("_of"))
         .agg(F.collect_list("_pos").alias("_drop"))
     )
