@@ -75,6 +75,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         _exploded(doc_words, sizes).join(_small(item_shingles.select("sh").distinct(), small), "sh", "left_semi"), "shingles"
     )
     rarity = occurrences.groupBy("sh").agg(F.count(F.lit(1)).alias("seen"))
+    # A window that an item repeats is looked for once, at its first place; so repetitive texts cost what their different windows do.
+    places = items.select("item", "len", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("len"))).alias("k"))
+    content = F.md5(F.array_join(F.slice("iw", F.col("k") + 1, F.col("len")), " "))
+    different = places.select("item", "k", content.alias("content")).groupBy("item", "content").agg(F.min("k").alias("k")).select("item", "k")
     # Each shingle of an item stands in the windows that begin up to len - size places before it.
     windows = item_shingles.join(rarity, "sh", "left").select(
         "item", "len", "ipos", "sh", "seen",
@@ -85,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         ).alias("k"),
     )
     prefixes = (
-        windows.groupBy("item", "len", "k")
+        windows.join(_small(different, small), ["item", "k"], "left_semi").groupBy("item", "len", "k")
         .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "sh", "ipos")).alias("p"))
         .where("p.seen > 0")
         .groupBy("item", "len", F.col("p.sh").alias("sh"), F.col("p.ipos").alias("ipos"))
@@ -95,24 +99,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     aligned = (
         occurrences.join(_small(prefixes, small), "sh")
         .where((diagonal + F.col("last") >= 0) & (diagonal + F.col("first") + F.col("len") <= F.col("n")))
-        .groupBy("doc_id", "row", "item", diagonal.alias("diagonal"))
-        .agg(F.first("len").alias("len"))
+        .groupBy("doc_id", "row", "item", "len", diagonal.alias("diagonal"))
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy("doc_id", "row", "item", "len")
+        .agg(F.collect_list(F.struct("diagonal", "first", "last")).alias("places"))
         .join(_small(items.select("item", "item_id", "iw"), small), "item")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-        .agg(F.collect_list(F.struct("item_id", "diagonal", "len", "iw")).alias("_aligned"))
+        .agg(F.collect_list(F.struct("item_id", "places", "len", "iw")).alias("_aligned"))
     )
 
     def starts(c: Column) -> Column:
-        """Window starts in the item that agree with the document word by word."""
-        low = F.greatest(F.lit(0), -c["diagonal"])
-        high = F.least(F.size(c["iw"]) - c["len"], F.size("_words") - c["len"] - c["diagonal"])
-        return F.when(
-            high >= low,
-            F.filter(
-                F.sequence(low, high),
-                lambda k: F.slice(F.col("_words"), c["diagonal"] + k + 1, c["len"]) == F.slice(c["iw"], k + 1, c["len"]),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
+        """Places of the document where a window of the item stands, compared word by word."""
+
+        def of(place: Column) -> Column:
+            low = F.greatest(place["first"], -place["diagonal"])
+            high = F.least(place["last"], F.size("_words") - c["len"] - place["diagonal"])
+            same = lambda k: F.slice(F.col("_words"), place["diagonal"] + k + 1, c["len"]) == F.slice(c["iw"], k + 1, c["len"])
+            found = F.transform(F.filter(F.sequence(low, high), same), lambda k: place["diagonal"] + k)
+            return F.when(high >= low, found).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(c["places"], of))
 
     same_row = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.xxhash64("text").eqNullSafe(F.col("_row"))
     verified = (
@@ -124,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             F.filter(
                 F.transform(
                     "_aligned",
-                    lambda c: F.struct(c["item_id"].alias("item_id"), c["diagonal"].alias("diagonal"), c["len"].alias("len"), starts(c).alias("at")),
+                    lambda c: F.struct(c["item_id"].alias("item_id"), c["len"].alias("len"), starts(c).alias("at")),
                 ),
                 lambda c: F.size(c["at"]) > 0,
             ),
@@ -134,9 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         F.flatten(
             F.transform(
                 "_found",
-                lambda c: F.flatten(
-                    F.transform(c["at"], lambda k: F.sequence(c["diagonal"] + k, c["diagonal"] + k + c["len"] - 1))
-                ),
+                lambda c: F.flatten(F.transform(c["at"], lambda at: F.sequence(at, at + c["len"] - 1))),
             )
         )
     )
