@@ -49,8 +49,9 @@ class Record(NamedTuple):
         return parse_headers(head.split(b"\r\n")[1:]), payload
 
 
-def record_id(page_id: int | None, row: str = "") -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}').urn}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of a page's record: rows that repeat a page_id, or have none, share one only if their payloads are equal."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
 
 
 def parse_headers(lines: Iterable[bytes]) -> dict[str, str]:
@@ -71,21 +72,21 @@ def header_value(text: str) -> str:
 def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
+    block, digest = http if revisit else http + payload, hashlib.sha256(payload).hexdigest()
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(page_id),
+        "WARC-Record-ID": record_id(page_id, digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": header_value(url or "about:blank"),
         "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
-        "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
+        "WARC-Payload-Digest": f"sha256:{digest}",
         "Content-Type": "application/http;msgtype=response",
         "Content-Length": str(len(block)),
     }
     if page_id is not None:
         headers["X-Page-Id"] = str(page_id)
     if revisit:
-        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-Id": str(refers_to)}
+        headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page-Id": str(refers_to)}
     head = b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items())
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
