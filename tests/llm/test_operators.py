@@ -14,6 +14,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,10 +110,47 @@ def test_lexer_keeps_all_literals():
     secrets.lexed_spans("a = 'x'\n" + "a = a + a + a\n" * 5_000 + "passphrase = a\n" * 5_000)
 
 
+def brute_literals(lines):
+    """Literals that reach a name, by expanding every constant as it stood when it was used."""
+    held, out, at, spans = {}, [], 0, []
+    for name, terms in lines:
+        at += len(name) + 3
+        own = []
+        for k, (literal, value) in enumerate(terms):
+            at += 3 * (k > 0)
+            if literal:
+                own.append((at + 1, at + 1 + len(value), value))
+                at += 2
+            else:
+                own += held.get(value, [])
+            at += len(value)
+        held[name] = own
+        out += [(a, b) for a, b, v in own if secrets.name_score(name) * secrets.literal_score(v) >= secrets.THRESHOLD]
+        at += 1
+    return sorted(set(out))
+
+
+NAMES = ["left", "right", "conf.value", "passphrase", "auth_key", "private_key", "label"]
+VALUES = ["x9fJ3kQz7Lp2", "plain", "0aK9dLq8Zr", "changeme", "two words here", "Zz8Yy7Xx6Ww5"]
+TERM = st.one_of(st.tuples(st.just(True), st.sampled_from(VALUES)), st.tuples(st.just(False), st.sampled_from(NAMES)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(NAMES), st.lists(TERM, min_size=2, max_size=3)), max_size=8))
+def test_lexer_matches_brute_force(lines):
+    text = "".join(f"{name} = " + " + ".join(f'"{v}"' if literal else v for literal, v in terms) + "\n" for name, terms in lines)
+    assert [(s.start, s.end) for s in secrets.lexed_spans(text)] == brute_literals(lines)
+
+
 def test_lexer_is_linear():
     secrets.scan("a" * 300_000 + "=")
     secrets.scan("a=" * 100_000)
     secrets.scan('"' + "\\" * 200_000)
+    text = lambda n: "".join(f'passphrase{i} = "x9fJ3kQz{i}Lp2"\ntoken = "abcdefgh{i}"\n' for i in range(n))
+    assert len(secrets.scan(text(3))[1]) == 6
+    began = time.perf_counter()
+    assert len(secrets.scan(text(40_000))[1]) == 80_000
+    assert time.perf_counter() - began < 20  # the square would take minutes
 
 
 def test_secret_rows(spark):
@@ -191,6 +229,19 @@ def test_vocabulary_gives_the_library_ids():
         assert np.frombuffer(fast(text), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40) | st.lists(st.sampled_from(["a", " ", "  ", "\n", "'s", "é", "\u0301", "1234", "日本", "\t", "...", "A", "\xa0", "'LL", "_", "😀", "<|endoftext|>"]), max_size=14).map("".join))
+def test_vocabulary_gives_the_library_ids_for_any_text(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    global SLOW, FAST
+    if "SLOW" not in globals():
+        SLOW, FAST = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), queries.byte_bpe()
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(FAST(text), "<u4").tolist() == SLOW.encode(text, add_special_tokens=False).ids
+
+
 # --- 3: line dedup ----------------------------------------------------------------------------------
 
 
@@ -242,7 +293,9 @@ def brute_top_k(rows, asking, k):
     return sorted(out, key=repr)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "SHARDS_A_TASK", 3)
     rng = random.Random(4)
     vocabulary = [f"w{int(rng.expovariate(0.05))}" for _ in range(400)]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30)))) for i in range(900)]
@@ -254,20 +307,56 @@ def test_top_k(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
-def test_shard_prunes_and_stays_exact():
-    rng = random.Random(6)
-    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 12))) for _ in range(1000)]
+def test_top_k_of_odd_rows(spark):
+    rows = [(None, "a b"), (0, "a b c"), (0, "a b c"), (0, "d"), (50, None), (100, ""), (150, "a"), (7, "a a x"), (8, "zz")]
+    got = topk.top_k(docs_of(spark, rows), docs_of(spark, rows).where("doc_id % 50 = 0")).collect()
+    found = Counter((r["query_id"], r["doc_id"]) for r in got)
+    assert found == {(0, 0): 3, (0, 150): 1, (0, 7): 1, (150, 0): 2, (150, 150): 1, (150, 7): 1}
+    assert [r["rank"] for r in sorted(got)] == [1, 2, 3, 4, 5, 1, 2, 3, 4]
+
+
+def shard_of(texts, mean=6.0):
+    arrays, terms = topk.Shard.build(list(range(len(texts))), texts, mean)
+    return topk.Shard(arrays, terms, mean)
+
+
+def search_all(shards, query, idf, k):
+    best = np.zeros(0, np.int64), np.zeros(0)
+    for shard, first in shards:
+        places = shard.places(pa.array([w.encode() for w in query], pa.binary()))
+        found = shard.search(places, np.array([idf[w] for w in query]), [0, len(query)], k, [(best[0] - first, best[1])])[0]
+        best = found[0] + first, found[1]
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_prune_and_stay_exact(seed):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 12))) for _ in range(1000)]
     idf = {w: rng.random() + 0.1 for t in texts for w in t.split()}
-    shard = topk.Shard(list(range(1000)), texts, {w.encode(): v for w, v in idf.items()}, 6.0)
-    for q in (["a"], ["a", "bb", "c"], sorted(idf)):
+    shards = [(shard_of(texts[:400]), 0), (shard_of(texts[400:]), 400)]
+    for q in (["a"], ["a", "bb", "c"], sorted(idf), sorted(set(texts[3].split()) | {"a"})):
         scores = [
             (-round(sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(t.split()) / 6.0)) for w in q if w in tf), 9), i)
             for i, t in enumerate(texts) for tf in [Counter(t.split())]
         ]
         want = [(i, -s) for s, i in sorted(scores)[:10] if s < 0]
-        got = shard.search([w.encode() for w in q], 10)
-        assert [i for i, _ in got] == [i for i, _ in want]
-        assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-9)
+        ids, got = search_all(shards, q, idf, 10)
+        assert ids.tolist() == [i for i, _ in want]
+        assert np.allclose(got, [s for _, s in want], atol=2e-9)
+
+
+def test_search_skips_documents():
+    """Texts of a topic share words; of the other topics, with which a text has common words alone, next to none is scored."""
+    rng = random.Random(1)
+    topics = [[f"{t}x{i}" for i in range(30)] for t in range(20)]
+    texts = [" ".join([*rng.choices(topics[i % 20], k=20), *rng.choices(["the", "of", "and"], k=rng.randrange(3, 12))]) for i in range(4000)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    idf = {w: math.log1p((4000 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    shard = shard_of(texts, 27.0)
+    for i in range(0, 100, 7):
+        search_all([(shard, 0)], sorted(set(texts[i].split())), idf, 10)
+    assert shard.met == 15 * 4000 and 0 < shard.scored < 0.05 * shard.met
 
 
 # --- 5: language model ------------------------------------------------------------------------------
@@ -315,6 +404,41 @@ def test_short_words_of_unknown_characters(monkeypatch, word):
     assert counts == pytest.approx(expected, rel=1e-9, abs=1e-200) and sum(counts.values()) > 0
 
 
+@pytest.mark.parametrize("word", ["a", "ab", "abab", "bxa", "baab", "éa"])
+@pytest.mark.parametrize("times", [1, 2, 7])
+@pytest.mark.parametrize("short", [lm.SHORT, 0])
+def test_expected_counts_match_all_segmentations(monkeypatch, word, times, short):
+    monkeypatch.setattr(lm, "SHORT", short)
+    lattice, text, paths = lm.Lattice(lm.first_model(PIECES_SCORED), 50), "▁" + word, []
+
+    def walk(at, p, used):
+        if at == len(text):
+            paths.append((p, used))
+            return
+        walk(at + 1, p * math.exp(lattice.any), [*used, lm.ANY])
+        for j in range(at + 1, len(text) + 1):
+            if text[at:j] in lattice.pieces:
+                walk(j, p * math.exp(lattice.pieces[text[at:j]]), [*used, text[at:j]])
+
+    walk(0, 1.0, [])
+    parts = sum(p for p, _ in paths)
+    whole = math.exp(lattice.whole) * (times - 1)
+    want = Counter({lm.WHOLE: times * whole / (parts + whole)} if times > 1 else {})
+    for p, used in paths:
+        for piece in used:
+            want[piece] += times * p / (parts + whole)
+    got = defaultdict(float)
+    lattice.expect(word, times, got)
+    assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v for k, v in want.items() if v > 1e-12}, rel=1e-9)
+
+
+def test_refit_is_counts_over_all():
+    model = lm.first_model(PIECES_SCORED)
+    got = lm.refit(model, {"a": 3.0, lm.STOP: 1.0})
+    total = 4.0 + lm.SMOOTHING * len(model)
+    assert got["a"] == pytest.approx(math.log((3 + lm.SMOOTHING) / total)) and got["ab"] == pytest.approx(math.log(lm.SMOOTHING / total))
+
+
 def test_model_sums_to_one():
     assert sum(map(math.exp, lm.first_model(PIECES_SCORED).values())) == pytest.approx(1)
 
