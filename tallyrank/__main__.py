@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluate
+from .operators import dataset, gate, scoring
 from .plans.engine import Router
 from .sources import manifest
 
@@ -21,43 +22,73 @@ def parser() -> argparse.ArgumentParser:
         c = commands.add_parser(name)
         c.add_argument("--manifest", action="append", required=True)
         c.add_argument("--hybrid", action="store_true")
+        c.add_argument("--dense-weight", type=float, default=scoring.DENSE_WEIGHT)
+        c.add_argument("-k", type=int, default=gate.MAX_K, help="candidates that are retrieved")
         if name in ("route", "prompt", "agent"):
             c.add_argument("query")
-            c.add_argument("--server")
+            c.add_argument("--server", help="only items of this server")
+            c.add_argument("--no-gate", action="store_true", help="keep all candidates")
+            c.add_argument("--min-k", type=int, default=gate.MIN_K)
+            c.add_argument("--max-k", type=int, help="kept when the gate widens; -k if not given")
+            c.add_argument("--gap-threshold", type=float, default=gate.GAP_THRESHOLD)
+        if name in ("route", "prompt", "agent", "calibrate"):
+            c.add_argument("--score-floor", type=float, default=gate.SCORE_FLOOR)
+        if name == "prompt":
+            c.add_argument("--style", choices=("compact", "json"), default="compact")
+        if name in ("route", "agent", "items"):
+            c.add_argument("--json", action="store_true", help="one JSON document a row")
         if name in ("bench", "calibrate"):
             c.add_argument("--dataset", required=True)
+            c.add_argument("--out", help="folder for result files")
         if name == "dataset":
             c.add_argument("--out", required=True)
             c.add_argument("--per-item", type=int, default=12)
-        c.add_argument("-k", type=int, default=5)
+            c.add_argument("--seed", type=int, default=dataset.SEED)
     return out
 
 
+def route_options(args: argparse.Namespace) -> dict[str, Any]:
+    return {
+        "k": args.k, "server": args.server, "use_gate": not args.no_gate, "min_k": args.min_k, "max_k": args.k if args.max_k is None else args.max_k,
+        "gap_threshold": args.gap_threshold, "score_floor": args.score_floor,
+    }
+
+
+def printed(rows: DataFrame, column: str) -> None:
+    print("\n".join(r[0] for r in rows.select(column).collect()))
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
-    router = Router.from_manifests(spark, args.manifest, hybrid=args.hybrid)
+    router = Router.from_manifests(spark, args.manifest, hybrid=args.hybrid, dense_weight=args.dense_weight)
     match args.command:
         case "items":
-            router.items.select("name", "server", "description").show(1000, truncate=60)
+            shown = router.items.select("name", "server", "description").orderBy("server", "name")
+            printed(shown.withColumn("j", F.to_json(F.struct("*")) if args.json else F.concat("server", F.lit("."), "name", F.lit(": "), "description")), "j")
         case "stats":
             print(json.dumps(router.stats(), indent=2))
         case "bench":
-            rows = [r.asDict() for r in router.benchmark(manifest.read_queries(spark, args.dataset), args.k).collect()]
-            print(evaluate.render_summary(rows))
+            print(router.report(manifest.read_queries(spark, args.dataset), args.out, args.k))
         case "calibrate":
-            labelled = manifest.read_queries(spark, args.dataset)
-            rows, floor = router.calibrate(labelled, args.k).collect(), router.floor_report(labelled).collect()
-            print(evaluate.render_calibration([r.asDict() for r in rows], [r.asDict() for r in floor]))
+            print(router.calibration(manifest.read_queries(spark, args.dataset), args.out, args.k, args.score_floor))
         case "dataset":
-            manifest.write_queries(router.dataset(args.per_item), args.out, {"items": len(router.rows), "per_item": args.per_item})
+            meta = {"items": len(router.rows), "per_item": args.per_item, "seed": args.seed, "manifests": args.manifest}
+            manifest.write_queries(router.dataset(args.per_item, args.seed), args.out, meta)
+        case "agent":
+            done = router.agent(router.queries(args.query), **route_options(args)).persist()
+            if args.json:
+                fields = ("query", "mode", "stage", "tool", "server", "arguments", "reason", "steps", "prompt_tokens", "all_tokens", "tokens_saved", "token_reduction")
+                printed(done.withColumn("j", F.to_json(F.struct(*fields))), "j")
+            else:
+                printed(done.select(F.explode("steps").alias("s")).withColumn("j", F.concat("s.step", F.lit(": "), "s.detail")), "j")
+            return 0 if done.first()["has_match"] else 2
         case command:
-            routed = router.route(router.queries(args.query), server=args.server)
-            if command == "route":
-                shown = router.explain(routed).orderBy("rank").select(F.to_json(F.struct("*")).alias("j"))
-                print("\n".join(r["j"] for r in shown.collect()))
-            elif command == "prompt":
-                print(router.prompts(routed).first()["prompt"])
+            routed = router.route(router.queries(args.query), **route_options(args)).persist()
+            if command == "prompt":
+                printed(router.prompts(routed, args.style), "prompt")
+            elif args.json:
+                printed(router.results_json(routed), "result")
             else:
-                print(router.agent(router.queries(args.query)).select(F.to_json(F.struct("stage", "tool", "server", "arguments", "reason")).alias("j")).first()["j"])
+                printed(router.explain(routed).orderBy("rank").withColumn("j", F.coalesce("reason", "gate_reason")), "j")
             return 0 if routed.first()["has_match"] else 2
     return 0
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 384
@@ -42,6 +45,47 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall(_CAMEL.sub(" ", text or "").lower())
 
 
+def best_places(keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest keys of each row, best first; equal keys in order of their places."""
+    n = keys.shape[1]
+    if k >= n or n <= 64:
+        return np.argsort(-keys, axis=1, kind="stable")[:, :k]
+    least = -np.partition(-keys, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(keys), k), np.int64)
+    for i, row in enumerate(keys):
+        at = np.flatnonzero(row >= least[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zero rows stay."""
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+class Embedder(Protocol):
+    """What an index needs: unit vectors of ``dim`` components. It is sent to the tasks once, pickled."""
+
+    dim: int
+
+    def embed(self, text: str | None) -> np.ndarray: ...
+
+
+def embedded(df: DataFrame, embedder: Embedder, text: str = "text", vector: str = "embedding") -> DataFrame:
+    """Add the vectors of a text column, a batch at a time; a null text has the vector of an empty one."""
+    fields = df.schema
+    at = fields.names.index(text)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{vector}` array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([embedder.embed(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*fields.names, vector])
+
+    return df.mapInArrow(run, schema)
+
+
 class HashEmbedder:
     """Text to a normalised vector of damped hashed features: words at 1, their 3-grams at GRAM_WEIGHT.
 
@@ -68,6 +112,13 @@ class HashEmbedder:
             got = self._known[token] = (np.array([p for p, _ in places]), np.array([w for _, w in places]))
         return got
 
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        """A row for each text; TypeError for what isn't a text."""
+        wrong = next((t for t in texts if not isinstance(t, str)), "")
+        if wrong != "":
+            raise TypeError(f"only texts can be embedded, not {type(wrong).__name__}")
+        return np.array([self.embed(t) for t in texts]).reshape(len(texts), self.dim)
+
     def embed(self, text: str | None) -> np.ndarray:
         found = [self._token(t) for t in tokens_of(text)]
         v = np.zeros(self.dim)

@@ -40,6 +40,30 @@ def decide(selected_rows: DataFrame, choose: Chooser = top_ranked) -> DataFrame:
     )
 
 
+def steps(echoed: DataFrame, all_tokens: int) -> DataFrame:
+    """Add ``steps``, what was done in order as (step, detail), and the prompt's tokens against those of all items.
+
+    Needs mode, reason, prompt_tokens and the columns of ``decide`` and ``echo``.
+    """
+    n = F.size("candidates")
+    step = lambda name, detail: F.struct(F.lit(name).alias("step"), detail.alias("detail"))
+    called = F.format_string("%s on %s with %s", "tool", "server", F.coalesce(F.to_json("arguments"), F.lit("{}")))
+    told = {
+        "refuse": F.lit("nothing was routed, so nothing is called"),
+        "decline": F.lit("the chooser took none of the candidates"),
+        "reject": F.format_string("the chooser named item %s, which wasn't routed", F.col("choice").cast("string")),
+    }
+    last = F.coalesce(*(F.when(F.col("stage") == k, v) for k, v in told.items()), called)
+    log = F.array(
+        step("route", F.concat("mode", F.lit(": "), "reason")),
+        step("prompt", F.format_string("%d candidates in %d tokens", n, F.col("prompt_tokens"))),
+        step("choose", F.coalesce(F.concat(F.lit("item "), F.col("choice").cast("string")), F.lit("none"))),
+    )
+    saved = F.lit(all_tokens) - F.col("prompt_tokens")
+    share = F.round(saved / F.lit(float(all_tokens)), 6) if all_tokens else F.lit(0.0)
+    return echoed.withColumns({"steps": F.concat(log, F.array(F.struct(F.col("stage").alias("step"), last.alias("detail")))), "all_tokens": F.lit(all_tokens).cast("long"), "tokens_saved": saved, "token_reduction": share})
+
+
 def echo(decided: DataFrame, items: DataFrame) -> DataFrame:
     """Simulated execution: what would be called, with placeholder arguments; rows without a call keep nulls.
 

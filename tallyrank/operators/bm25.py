@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -10,6 +10,8 @@ from ..functions.text import tokenize
 K1, B = 1.5, 0.75
 #: The one token of a document without any.
 EMPTY = "__empty__"
+#: Bytes of all items' texts up to which their terms and weights are broadcast.
+TERMS_BYTES = 8 << 20
 
 
 def postings(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -60,15 +62,35 @@ def weighted_postings(items: DataFrame, item_id: str = "item_id", text: str = "t
 def scores_by_join(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, item_id, bm25) of pairs that share a term, for items of any size: an equi-join on terms.
 
-    Query terms are counted per query before the join, so a repeated token costs one row.
+    Of the queries' tokens only those that some item has are counted and moved. The items' terms are broadcast where their texts are
+    within TERMS_BYTES, else shuffled.
     """
-    asked = (
-        queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+    weighted = weighted_postings(items)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    terms = weighted.select("term").distinct()
+    tokens = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term"))
+    asked = tokens.join(F.broadcast(terms) if size <= TERMS_BYTES else terms, "term", "left_semi").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     return (
-        asked.join(weighted_postings(items), "term")
+        asked.join(F.broadcast(weighted) if size <= TERMS_BYTES else weighted, "term")
         .groupBy("query_id", "item_id")
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
     )
+
+
+def top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, item_id, bm25): the k best items of each query by ``scores_by_join``.
+
+    Ties in nine decimals go to the smaller id. A query that shares terms with fewer than k items gets items of score 0 behind them, by
+    id; blank and null queries get none. ``queries`` has query_id (each once) and query.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "item_id")
+    scored = scores_by_join(items, queries).where(F.round("bm25", 9) > 0)
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "bm25"))).alias("found"))
+    # A query lacks at most k items, and at most k of those with the smallest ids are found: 2 k of them are enough.
+    first = [r[0] for r in items.select("item_id").distinct().orderBy("item_id").limit(2 * k).collect()]
+    rows = queries.where(F.trim("query") != "").select("query_id").join(found, "query_id", "left")
+    hits = F.coalesce("found", F.array().cast("array<struct<rank:int,item_id:bigint,bm25:double>>"))
+    others = F.array_except(F.array(*(F.lit(i) for i in first)).cast("array<bigint>"), F.transform(hits, lambda h: h["item_id"]))
+    zeros = F.transform(others, lambda i, at: F.struct((F.size(hits) + at + 1).cast("int").alias("rank"), i.alias("item_id"), F.lit(0.0).alias("bm25")))
+    return rows.select("query_id", F.explode(F.slice(F.concat(hits, zeros), 1, k)).alias("h")).select("query_id", "h.*")

@@ -50,9 +50,9 @@ def json_block(name: str, server: str, description: str, parameters: str | None)
     return json.dumps({"name": name, "description": description, "parameters": json.loads(parameters or "{}"), "server": server}, indent=2)
 
 
-# The walk over a schema is recursive, which no column expression is; items are few.
-compact_udf = F.udf(compact_block, T.StringType(), useArrow=False)
-json_udf = F.udf(json_block, T.StringType(), useArrow=False)
+# The walk over a schema is recursive, which no column expression is; items are few and come in Arrow batches.
+compact_udf = F.udf(compact_block, T.StringType(), useArrow=True)
+json_udf = F.udf(json_block, T.StringType(), useArrow=True)
 
 
 def with_blocks(items, include_examples: bool = False):

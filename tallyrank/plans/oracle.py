@@ -111,7 +111,7 @@ def top(source: str, k: int = 5) -> str:
     """Per query: number of candidates and the first two scores."""
     return f"""top AS (
   SELECT q.query_id, q.category, count(r.rank) AS n, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2,
-         max(dense_raw) FILTER (WHERE rank = 1) AS f1
+         max(dense_raw) FILTER (WHERE rank = 1) AS f1, max(item_id) FILTER (WHERE rank = 1) AS i1, max(item_id) FILTER (WHERE rank = 2) AS i2
   FROM q LEFT JOIN {source} r ON r.query_id = q.query_id AND r.rank <= {k} GROUP BY ALL)"""
 
 
@@ -120,6 +120,14 @@ MODE = """CASE WHEN n = 0 THEN 'no_candidates' WHEN round(f1, 9) < 0.54 THEN 'no
 KEPT = "CASE WHEN mode IN ('no_candidates', 'no_confident_match') THEN 0 WHEN mode = 'ambiguous' THEN least(n, 5) ELSE least(n, 1) END"
 
 
+_GAP_TEXT = "printf('Gap %.3f between ''%s'' (%.3f) and ''%s'' (%.3f) ', gap, i1::VARCHAR, s1, i2::VARCHAR, s2)"
+REASON = f"""CASE mode WHEN 'no_candidates' THEN 'Retrieval returned no candidates; nothing to gate.'
+       WHEN 'no_confident_match' THEN printf('Best candidate ''%s'' scored %.3f, below the absolute floor 0.54. No item plausibly serves this query, so no guess is returned.', i1::VARCHAR, f1)
+       WHEN 'single_candidate' THEN printf('Only one candidate (''%s'', score %.3f) was retrieved, so no top1-top2 gap exists; returning it as-is.', i1::VARCHAR, s1)
+       WHEN 'confident' THEN {_GAP_TEXT} || 'meets the threshold 0.03; narrowing to top-' || selected_k || '.'
+       ELSE {_GAP_TEXT} || 'is below the threshold 0.03; widening to top-' || selected_k || ' so that the choice can be made later.' END"""
+
+
 def gates(source: str) -> str:
     return f"""{top(source)},
 gated AS (
@@ -140,6 +148,12 @@ def ranks(source: str, name: str) -> str:
 N_ITEMS = "(SELECT count(*) FROM benchmark)"
 BLOCK = "'- item_' || item_id || '(server' || (item_id % 3) || ')' || chr(10) || '  ' || text || chr(10) || '  params: none'"
 
+# As text of the same length and words: a character beyond ASCII is six in JSON.
+JSON_BLOCK = (
+    r"""'{' || chr(10) || '  "name": "item_' || item_id || '",' || chr(10) || '  "description": ' || regexp_replace(CAST(to_json(text) AS VARCHAR), '[^\x00-\x7F]', 'uXXXXX', 'g') || ',' """
+    """|| chr(10) || '  "parameters": {},' || chr(10) || '  "server": "server' || (item_id % 3) || '"' || chr(10) || '}'"""
+)
+
 
 def block(rank: str, context: str = "least(5, " + N_ITEMS + ")") -> str:
     hit = lambda k: f"round(avg(CASE WHEN {rank} <= {k} THEN 1.0 ELSE 0.0 END), 6)"
@@ -224,11 +238,11 @@ f AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(CASE WHEN le
 SELECT t AS term, round(greatest(0.0, ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))), 6) AS idf FROM f""",
     "postings": f"{with_(SCORES)} SELECT item_id, t AS term, round(w, 6) AS weight FROM ip",
     "bm25_topk": f"""{with_(SCORES)}
-SELECT query_id, CAST(r AS INTEGER) AS rank, item_id, round(bm25, 6) AS bm25
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, item_id) AS r FROM bm) WHERE r <= 5""",
+SELECT query_id, CAST(r AS INTEGER) AS rank, item_id, round(bm25_raw, 6) AS bm25
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_raw, 9) DESC, item_id) AS r FROM pair) WHERE r <= 5""",
     "l2_normalize": """
 WITH z AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
-SELECT vec_id, round(e[1] / n, 6) AS u0, round(e[32] / n, 6) AS u31, round(e[64] / n, 6) AS u63 FROM z""",
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / n, 6) AS u FROM (SELECT vec_id, n, unnest(e) AS x, unnest(range(len(e))) AS i FROM z)""",
     "vector_validate": """
 SELECT 'dimension' AS problem, 2 * count(*) AS n FROM nation UNION ALL SELECT 'duplicate id', count(*) FROM nation""",
     "dense_topk": """
@@ -238,7 +252,7 @@ s AS (
   FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, CAST(r AS INTEGER) AS rank, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM s) WHERE r <= 5""",
-    "hash_embed": f"{with_(SCORES)} SELECT item_id, CAST(b AS INTEGER) AS bucket, round(v / z, 6) AS v FROM iv JOIN inm USING (item_id) WHERE abs(v) > 1e-12",
+    "hash_embed": f"{with_(SCORES)} SELECT query_id AS doc_id, CAST(b AS INTEGER) AS bucket, round(v / z, 6) AS v FROM qv JOIN qn USING (query_id) WHERE abs(v) > 1e-12",
     "minmax_normalize": """
 SELECT event_id, round(CASE WHEN hi - lo <= 1e-12 THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (value - lo) / (hi - lo) END, 6) AS scaled
 FROM (SELECT event_id, value, min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events)""",
@@ -251,7 +265,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FRO
     "score_gap": f"""{with_(SCORES, gates('rd'))}
 SELECT query_id, round(s1, 6) AS top_score, round(s2, 6) AS runner_up_score, round(s1 - s2, 6) AS gap FROM gated""",
     "confidence_gate": f"""{with_(SCORES, gates('rh'))}
-SELECT query_id, mode, selected_k, round(gap, 6) AS gap, round(s1, 6) AS top_score, round(s2, 6) AS runner_up_score, mode = 'ambiguous' AS widened, selected_k > 0 AS has_match FROM gated""",
+SELECT query_id, mode, selected_k, round(gap, 6) AS gap, round(s1, 6) AS top_score, round(s2, 6) AS runner_up_score, mode = 'ambiguous' AS widened, selected_k > 0 AS has_match, {REASON} AS reason FROM gated""",
     "gate_select": f"""{with_(SCORES, gates('rd'))}
 SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM gated JOIN rd USING (query_id) WHERE rank <= selected_k""",
     "gate_modes": f"{with_(SCORES, gates('rd'))} SELECT mode, count(*) AS n FROM gated GROUP BY mode",
@@ -293,7 +307,7 @@ FROM top LEFT JOIN gold USING (query_id) WHERE s1 IS NOT NULL GROUP BY 1""",
 SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
        round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type""",
     "baseline_compare": f"""{with_(SCORES, gates('rd'), ranks('rd', 'rk'), ranks('rh', 'hk'), GATED_RANK)},
-al AS (SELECT *, (SELECT count(*) FROM it i WHERE i.item_id <= gold) AS place FROM rk)
+al AS (SELECT *, (SELECT count(*) FROM it i WHERE i.item_id % 10 < gold % 10 OR i.item_id % 10 = gold % 10 AND i.item_id <= gold) AS place FROM rk)
 SELECT 'all_tools' AS baseline, {block('place', N_ITEMS)}, 0.0::DOUBLE AS gate_widen_rate, 0.0::DOUBLE AS gate_no_match_rate FROM al
 UNION ALL SELECT 'dense', {block('rank')}, 0.0, 0.0 FROM rk UNION ALL SELECT 'hybrid', {block('rank')}, 0.0, 0.0 FROM hk
 UNION ALL SELECT 'confidence_gate', {block('kept_rank', 'selected_k')}, round(avg(CASE WHEN mode = 'ambiguous' THEN 1.0 ELSE 0.0 END), 6),
@@ -306,7 +320,7 @@ shown AS (
 p AS (
   SELECT b.baseline, g.query_id, coalesce(string_agg(x, chr(10) ORDER BY rank), '') AS x
   FROM gold g CROSS JOIN (SELECT unnest(['dense', 'hybrid', 'confidence_gate']) AS baseline) b LEFT JOIN shown s ON s.query_id = g.query_id AND s.baseline = b.baseline GROUP BY ALL),
-every AS (SELECT {estimate("x")} AS t FROM (SELECT string_agg({BLOCK}, chr(10) ORDER BY item_id) AS x FROM it))
+every AS (SELECT {estimate("x")} AS t FROM (SELECT '[' || chr(10) || string_agg({JSON_BLOCK}, ',' || chr(10) ORDER BY item_id) || chr(10) || ']' AS x FROM it))
 SELECT baseline, round(avg({estimate('x')}), 6) AS avg_prompt_tokens, round((max(t) - avg({estimate('x')})) / max(t), 6) AS token_reduction FROM p, every GROUP BY baseline""",
     "nearest_sibling": f"""
 WITH {KINDS},

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..functions import text as t
-from ..functions.vectors import HashEmbedder, l2_normalize
+from ..functions.vectors import HashEmbedder, embedded, l2_normalize
 from ..operators import agent, bm25, dataset, dense, evaluate, explain, gate, prompt, registry, scoring
 from ..sources.manifest import first_present
 from ..sources.tables import read_table as table
@@ -131,15 +131,13 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = documents(spark, d, F.col("text").alias("query")).withColumnRenamed("doc_id", "query_id")
-    scores = bm25.scores_by_join(table(spark, d, "benchmark"), queries)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "item_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query_id", "rank", "item_id", six("bm25"))
+    return bm25.top_k(table(spark, d, "benchmark"), queries, K).select("query_id", "rank", "item_id", six("bm25"))
 
 
 def l2_norm(spark: SparkSession, d: str) -> DataFrame:
     unit = l2_normalize(F.col("embedding"))
-    rows = table(spark, d, "embeddings").select("vec_id", unit.alias("u"))
-    return rows.select("vec_id", *(F.round(F.get("u", F.lit(i)), 6).alias(f"u{i}") for i in (0, 31, 63)))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(unit).alias("i", "u"))
+    return rows.select("vec_id", "i", six("u"))
 
 
 def vector_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -155,10 +153,9 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    embed = HashEmbedder()
-    vectors = F.udf(lambda x: embed.embed(x).tolist(), "array<double>", useArrow=False)(F.col("text"))
-    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(vectors).alias("bucket", "v"))
-    return rows.where("v <> 0").select("item_id", "bucket", F.round("v", 6).alias("v"))
+    vectors = embedded(documents(spark, d, "text"), HashEmbedder())
+    rows = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
+    return rows.where("v <> 0").select("doc_id", "bucket", F.round("v", 6).alias("v"))
 
 
 def minmax_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -171,15 +168,16 @@ def minmax_normalize(spark: SparkSession, d: str) -> DataFrame:
 # --- routing ----------------------------------------------------------------------------------------
 
 
-def scored(spark: SparkSession, d: str, gold: bool = False) -> tuple[DataFrame, scoring.ItemIndex]:
+def catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, scoring.ItemIndex]:
+    """All documents as queries, and the index of the items."""
     index = scoring.build_index(table(spark, d, "benchmark"))
     queries = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("lang").alias("category"))
-    return scoring.score_items(spread(queries), index, gold=gold), index
+    return spread(queries), index
 
 
 def found(spark: SparkSession, d: str, hybrid: bool, k: int = K, gold: bool = False) -> DataFrame:
-    rows, index = scored(spark, d, gold)
-    return scoring.retrieve(scoring.ranked(rows, index, hybrid), k, hybrid)
+    queries, index = catalogue(spark, d)
+    return scoring.retrieve(queries, index, k, hybrid, gold=gold)
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -192,9 +190,8 @@ def server_of(item_id: Column) -> Column:
 
 
 def server_filter_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows, index = scored(spark, d)
-    servers = {i: f"server{i % 3}" for i in index.ids}
-    kept = scoring.retrieve(scoring.ranked(rows, index), K, servers=servers, server="server1")
+    queries, index = catalogue(spark, d)
+    kept = scoring.retrieve(queries, index, K, allowed=[i for i in index.ids if i % 3 == 1])
     return scoring.exploded(kept, "query_id").select("query_id", "item_id", "rank", six("score"))
 
 
@@ -208,7 +205,7 @@ def score_gap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    return gated(spark, d, True).select("query_id", "mode", "selected_k", six("gap"), six("top_score"), six("runner_up_score"), "widened", "has_match")
+    return gated(spark, d, True).select("query_id", "mode", "selected_k", six("gap"), six("top_score"), six("runner_up_score"), "widened", "has_match", "reason")
 
 
 def gate_select(spark: SparkSession, d: str) -> DataFrame:
@@ -241,10 +238,17 @@ def blocks(index: scoring.ItemIndex) -> tuple[dict[int, str], dict[int, str]]:
     return {i: prompt.compact_block(n, s, x, None) for i, n, s, x in fields}, {i: prompt.json_block(n, s, x, None) for i, n, s, x in fields}
 
 
+def labelled(spark: SparkSession, d: str) -> tuple[DataFrame, scoring.ItemIndex]:
+    """Documents that hold an item's text, with the smallest such item as ``gold``."""
+    queries, index = catalogue(spark, d)
+    return scoring.retrieve(queries, index, 0, {}, gold=True).where("gold IS NOT NULL"), index
+
+
 def outcomes(spark: SparkSession, d: str, *baselines: str) -> DataFrame:
-    """Outcomes of labelled queries: documents that hold an item."""
-    rows, index = scored(spark, d, gold=True)
-    return evaluate.run_baselines(rows.where("gold IS NOT NULL"), index, *blocks(index), K, baselines or evaluate.BASELINES)
+    """Outcomes of labelled queries; the manifest's order is by the ids' last digit."""
+    queries, index = labelled(spark, d)
+    order = sorted(index.ids, key=lambda i: (i % 10, i))
+    return evaluate.run_baselines(queries, index, *blocks(index), K, baselines or evaluate.BASELINES, order=order)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -297,12 +301,11 @@ def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_reduction(spark: SparkSession, d: str) -> DataFrame:
-    """Against a plain listing of all items; blocks hold name, server and text."""
-    rows, index = scored(spark, d, gold=True)
-    compact = blocks(index)[0]
-    out = evaluate.run_baselines(rows.where("gold IS NOT NULL"), index, compact, compact, K, ("dense", "hybrid", "confidence_gate"))
-    every = "\n".join(compact[i] for i in index.ids)
-    listed = spark.createDataFrame([(every,)], "x string").select(t.token_estimate(F.col("x"))).first()[0]
+    """Against the JSON listing of all items."""
+    queries, index = labelled(spark, d)
+    compact, full = blocks(index)
+    out = evaluate.run_baselines(queries, index, compact, full, K, ("dense", "hybrid", "confidence_gate"))
+    listed = spark.createDataFrame([([full[i] for i in index.ids],)], "x array<string>").select(prompt.prompt_tokens(F.col("x"), "json")).first()[0]
     return rounded(evaluate.token_reduction(out, listed))
 
 
@@ -361,11 +364,11 @@ def agent_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_block(spark: SparkSession, d: str) -> DataFrame:
-    rows, index = scored(spark, d)
+    queries, index = catalogue(spark, d)
     compact = blocks(index)[0]
-    names = F.create_map(*(F.lit(x) for pair in sorted(compact.items()) for x in pair))
-    kept = gate.selected(gate.confidence_gate(scoring.retrieve(scoring.ranked(rows, index), K)))
-    shown = F.transform("candidates", lambda c: names[c["item_id"]])
+    found = scoring.retrieve(queries, index, K, attach={"block": [compact[i] for i in index.ids]})
+    kept = gate.selected(gate.confidence_gate(found))
+    shown = F.transform("candidates", lambda c: c["block"])
     return kept.select("query_id", prompt.prompt(shown).alias("prompt"), prompt.prompt_tokens(shown).alias("tokens"))
 
 
