@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import DESCRIPTION_STOPWORDS, INFORMAL, QUERY_STOPWORDS
-from ..operators.dataset import ADVERSARIAL
+from ..operators.dataset import ADVERSARIAL, AMBIGUOUS, CLEAN, SEED, split_counts
 from ..operators.evaluate import GAP_GRID
 from ..operators.prompt import HEADER, NO_MATCH
 
@@ -169,6 +169,77 @@ GATED_RANK = """gr AS (
 # A word's bare letters, and the swap of the typo rule.
 _INFORMAL = "CASE bare " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in INFORMAL.items()) + " END"
 
+
+
+def typos(source: str, keys: str, text: str, salt: str) -> str:
+    """CTEs up to ``typos`` (keys, typo): the typo rule for rows of a source with unique keys."""
+    both = lambda x, y: " AND ".join(f"{x}.{k} IS NOT DISTINCT FROM {y}.{k}" for k in keys.split(", "))
+    return rf"""w AS (SELECT {keys}, {ws(text)} AS p FROM {source}),
+e AS (SELECT {keys}, unnest(p) AS x, unnest(range(len(p))) AS i FROM w),
+s AS (SELECT *, {_INFORMAL} AS r FROM (SELECT *, regexp_replace(lower(x), '[^a-z]', '', 'g') AS bare FROM e)),
+l AS (
+  SELECT {keys}, bool_or(r IS NOT NULL) AS known, lower(string_agg(coalesce(r, x), ' ' ORDER BY i)) AS informal, lower(string_agg(x, ' ' ORDER BY i)) AS plain
+  FROM s GROUP BY {keys}),
+c AS (
+  SELECT *, {ws('plain')} AS lw, list_filter(range(len({ws('plain')})), lambda i: length({ws('plain')}[i + 1]) > 4) AS la, md5('{salt}' || plain) AS h FROM l),
+a AS (SELECT *, CASE WHEN len(la) > 0 THEN la[CAST(('0x' || substr(h, 1, 7))::BIGINT % len(la) AS INTEGER) + 1] END AS ap FROM c),
+b AS (SELECT *, lw[ap + 1] AS wd, 1 + ('0x' || substr(h, 9, 7))::BIGINT % (length(lw[ap + 1]) - 3) AS pos FROM a),
+o AS (
+  SELECT {keys}, CASE WHEN known THEN informal WHEN length(plain) > 8 AND ap IS NOT NULL THEN
+         array_to_string(list_transform(lw, lambda x, i: CASE WHEN i - 1 = ap THEN substr(wd, 1, pos) || substr(wd, pos + 2, 1) || substr(wd, pos + 1, 1) || substr(wd, pos + 3) ELSE x END), ' ')
+         ELSE plain END AS out FROM b),
+typos AS (SELECT {', '.join(f'w.{k}' for k in keys.split(', '))}, regexp_replace(coalesce(out, ''), '[?.]+$', '') AS typo FROM w LEFT JOIN o ON {both('w', 'o')})"""
+
+
+def filled(template: str, **fields: str) -> str:
+    """A template with its fields put in, in the given order."""
+    for name, value in fields.items():
+        template = f"replace({template}, '{{{name}}}', {value})"
+    return rf"trim(regexp_replace({template}, '\s+', ' ', 'g'))"
+
+
+def picked(source: str, count: int, seed: int) -> str:
+    order = f"own DESC, md5('{seed}|' || name || '|' || template), query"
+    return f"SELECT name, query FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY {order}) AS r FROM {source}) WHERE r <= {count}"
+
+
+PAIRS = f"""term AS (
+  SELECT DISTINCT name, server, position, unnest(list_concat({ordered_distinct(kw('description'))}[1:16], string_split({action('name')}, ' '))) AS t FROM kinds),
+pairs AS (
+  SELECT a.name, b.name AS sibling, b.position, count(*) + CASE WHEN a.server <> b.server THEN 0.5 ELSE 0.0 END AS score
+  FROM term a JOIN term b ON a.t = b.t AND a.name <> b.name GROUP BY a.name, b.name, a.server, b.server, b.position),
+nearest AS (SELECT name, sibling, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, position) AS r FROM pairs) WHERE r = 1)"""
+
+
+def generated(per_item: int = 12, seed: int = SEED) -> str:
+    n = split_counts(per_item)
+    fields = {"action": "act", "object": "obj", "param2": "'size code'", "param": "'size code'", "first_kw": "kws[1]", "second_kw": "coalesce(kws[2], '')"}
+    return rf"""WITH {KINDS},
+{PAIRS},
+parted AS (SELECT *, {action('name')} AS act, {ws(action('name'))} AS parts, {ordered_distinct(kw('description'))} AS found FROM kinds),
+told AS (SELECT *, array_to_string(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE parts END, ' ') AS obj FROM parted),
+item AS (SELECT *, CASE WHEN len(found) > 0 THEN found[1:8] ELSE [obj] END AS kws, list_concat(found[1:16], parts) AS terms FROM told),
+clean AS (
+  SELECT name, template, {filled('template', **fields)} AS query, FALSE AS own FROM item, (SELECT unnest({words_list(CLEAN)}) AS template) UNION ALL
+  SELECT name, 'Find me a ' || description || '?', regexp_replace(lower('Find me a ' || description || '?'), '[?.]+$', ''), TRUE FROM item),
+shared AS (
+  SELECT i.*, list_sort(list_filter(list_distinct(i.terms), lambda t: list_contains(coalesce(s.terms, []), t) AND length(t) > 3 AND t <> i.parts[1])) AS common
+  FROM item i LEFT JOIN nearest USING (name) LEFT JOIN item s ON s.name = nearest.sibling),
+noun AS (
+  SELECT name, parts[1] AS verb, unnest(CASE WHEN len(common) > 0 THEN common WHEN len(list_filter(parts[2:], lambda w: length(w) > 2)) > 0 THEN list_filter(parts[2:], lambda w: length(w) > 2)
+         WHEN len(found) > 0 THEN found[1:3] ELSE ['request'] END) AS noun FROM shared),
+vague AS (
+  SELECT name, noun || '|' || form AS template, {filled('form', verb='verb', noun='noun')} AS query, FALSE AS own FROM noun, (SELECT unnest({words_list(AMBIGUOUS)}) AS form)),
+hostile AS (SELECT name, template, {filled('template', action='act')} AS query, FALSE AS own FROM item, (SELECT unnest({words_list(ADVERSARIAL)}) AS template)),
+misspelt AS ({picked('clean', n['typo'], seed + 1)}),
+{typos('misspelt', 'name, query', 'query', str(seed))},
+every AS (
+  SELECT query, name, 'clean' AS category, 0 AS place FROM ({picked('clean', n['clean'], seed)}) UNION ALL
+  SELECT query, name, 'ambiguous', 1 FROM ({picked('vague', n['ambiguous'], seed)}) UNION ALL
+  SELECT typo, name, 'typo', 2 FROM typos UNION ALL SELECT query, name, 'adversarial', 3 FROM ({picked('hostile', n['adversarial'], seed)}))
+SELECT query, name AS correct_item, arg_min(category, place) AS category FROM every GROUP BY query, name"""
+
+
 SQL: dict[str, str] = {
     "tokenize": f"SELECT doc_id, CAST(len(k) AS INTEGER) AS n, array_to_string(k, ' ') AS tokens FROM (SELECT doc_id, {tok('text')} AS k FROM documents)",
     "char_ngrams": f"""
@@ -206,22 +277,7 @@ FROM parts""",
 SELECT event_id, coalesce(nullif(props ->> '$.name', ''), nullif(props ->> '$.key', ''), nullif(props ->> '$.k', '')) AS value FROM events""",
     "json_keys": "SELECT event_id, array_to_string(json_keys(props), ' ') AS keys FROM events",
     "token_estimate": f"SELECT doc_id, {estimate('text')} AS tokens FROM documents",
-    "typo_map": rf"""
-WITH w AS (SELECT conv_id, turn, {ws('text')} AS p FROM conversations),
-e AS (SELECT conv_id, turn, unnest(p) AS x, unnest(range(len(p))) AS i FROM w),
-s AS (SELECT *, {_INFORMAL} AS r FROM (SELECT *, regexp_replace(lower(x), '[^a-z]', '', 'g') AS bare FROM e)),
-l AS (
-  SELECT conv_id, turn, bool_or(r IS NOT NULL) AS known, lower(string_agg(coalesce(r, x), ' ' ORDER BY i)) AS informal, lower(string_agg(x, ' ' ORDER BY i)) AS plain
-  FROM s GROUP BY conv_id, turn),
-c AS (
-  SELECT *, {ws('plain')} AS lw, list_filter(range(len({ws('plain')})), lambda i: length({ws('plain')}[i + 1]) > 4) AS la, md5('s' || plain) AS h FROM l),
-a AS (SELECT *, CASE WHEN len(la) > 0 THEN la[CAST(('0x' || substr(h, 1, 7))::BIGINT % len(la) AS INTEGER) + 1] END AS ap FROM c),
-b AS (SELECT *, lw[ap + 1] AS wd, 1 + ('0x' || substr(h, 9, 7))::BIGINT % (length(lw[ap + 1]) - 3) AS pos FROM a),
-o AS (
-  SELECT conv_id, turn, CASE WHEN known THEN informal WHEN length(plain) > 8 AND ap IS NOT NULL THEN
-         array_to_string(list_transform(lw, lambda x, i: CASE WHEN i - 1 = ap THEN substr(wd, 1, pos) || substr(wd, pos + 2, 1) || substr(wd, pos + 1, 1) || substr(wd, pos + 3) ELSE x END), ' ')
-         ELSE plain END AS out FROM b)
-SELECT w.conv_id, w.turn, regexp_replace(coalesce(out, ''), '[?.]+$', '') AS typo FROM w LEFT JOIN o USING (conv_id, turn)""",
+    "typo_map": f"""WITH {typos("conversations", "conv_id, turn", "text", "s")} SELECT conv_id, turn, typo FROM typos""",
     "adversarial_templates": f"""
 WITH {PARTS}
 SELECT name, trim(regexp_replace(replace(t, '{{action}}', {action('name')}), '\\s+', ' ', 'g')) AS query FROM parts, (SELECT unnest({words_list(ADVERSARIAL)}) AS t)""",
@@ -322,14 +378,8 @@ p AS (
   FROM gold g CROSS JOIN (SELECT unnest(['dense', 'hybrid', 'confidence_gate']) AS baseline) b LEFT JOIN shown s ON s.query_id = g.query_id AND s.baseline = b.baseline GROUP BY ALL),
 every AS (SELECT {estimate("x")} AS t FROM (SELECT '[' || chr(10) || string_agg({JSON_BLOCK}, ',' || chr(10) ORDER BY item_id) || chr(10) || ']' AS x FROM it))
 SELECT baseline, round(avg({estimate('x')}), 6) AS avg_prompt_tokens, round((max(t) - avg({estimate('x')})) / max(t), 6) AS token_reduction FROM p, every GROUP BY baseline""",
-    "nearest_sibling": f"""
-WITH {KINDS},
-term AS (SELECT DISTINCT name, server, position, unnest(list_concat({kw('description')}[1:16], string_split({action('name')}, ' '))) AS t FROM kinds),
-pairs AS (
-  SELECT a.name, b.name AS sibling, b.position, count(*) + CASE WHEN a.server <> b.server THEN 0.5 ELSE 0.0 END AS score
-  FROM term a JOIN term b ON a.t = b.t AND a.name <> b.name GROUP BY a.name, b.name, a.server, b.server, b.position)
-SELECT name, sibling, CAST(score AS DOUBLE) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, position) AS r FROM pairs) WHERE r = 1""",
+    "nearest_sibling": f"WITH {KINDS},\n{PAIRS}\nSELECT name, sibling, CAST(score AS DOUBLE) AS score FROM nearest",
+    "generated_dataset": generated(),
     "dedup_keep_first": """
 SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1""",
     "semi_collisions": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",

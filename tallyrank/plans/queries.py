@@ -155,7 +155,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     vectors = embedded(documents(spark, d, "text"), HashEmbedder())
     rows = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "v"))
-    return rows.where("v <> 0").select("doc_id", "bucket", F.round("v", 6).alias("v"))
+    return rows.where("abs(v) > 1e-12").select("doc_id", "bucket", F.round("v", 6).alias("v"))
 
 
 def minmax_normalize(spark: SparkSession, d: str) -> DataFrame:
