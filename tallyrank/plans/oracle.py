@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import DESCRIPTION_STOPWORDS, INFORMAL, QUERY_STOPWORDS
 from ..operators.dataset import ADVERSARIAL, AMBIGUOUS, CLEAN, SEED, split_counts
 from ..operators.evaluate import GAP_GRID
+from ..operators.explain import NOTHING
 from ..operators.prompt import HEADER, NO_MATCH
 
 
@@ -397,18 +398,29 @@ SELECT g.query_id, CASE WHEN x IS NULL THEN '{NO_MATCH}' ELSE '{HEAD[0]}' || sho
        {estimate("coalesce(x, '')")} AS tokens FROM gated g LEFT JOIN p USING (query_id)""",
     "explain_rows": f"""{with_(SCORES, gates('rh'))},
 s AS (
-  SELECT g.query_id, r.rank, r.item_id, r.score, {content('q.query')} AS c, {tok('it.text')} AS target, {tok("'item_' || r.item_id")} AS names
+  SELECT g.query_id, r.rank, r.item_id, r.score, r.dense, r.bm25, {content('q.query')} AS c, {tok('it.text')} AS target, {tok("'item_' || r.item_id")} AS names, 'server' || (r.item_id % 3) AS server
   FROM gated g JOIN q USING (query_id) LEFT JOIN rh r ON r.query_id = g.query_id AND r.rank <= g.selected_k LEFT JOIN it ON it.item_id = r.item_id),
-e AS (SELECT query_id, rank, target, names, unnest(c) AS w, unnest(range(len(c))) AS i FROM s),
-f AS (SELECT query_id, rank, w, min(i) AS i, any_value(list_contains(target, w)) AS d, any_value(list_contains(names, w)) AS n FROM e GROUP BY query_id, rank, w),
+e AS (SELECT query_id, rank, target, names, server, unnest(c) AS w, unnest(range(len(c))) AS i FROM s),
+f AS (
+  SELECT query_id, rank, w, min(i) AS i, any_value(list_contains(target, w)) AS d, any_value(list_contains(names, w)) AS n, any_value(list_contains({tok('server')}, w)) AS v
+  FROM e GROUP BY query_id, rank, w),
 h AS (
-  SELECT query_id, rank, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE d), '') AS description_terms, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE n), '') AS name_terms
-  FROM f GROUP BY query_id, rank)
-SELECT s.query_id, CAST(coalesce(s.rank, 0) AS INTEGER) AS rank, s.item_id,
-       CASE WHEN s.rank IS NULL THEN 'none' WHEN score >= 0.85 THEN 'very high' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.55 THEN 'moderate' ELSE 'low' END AS score_band,
-       CASE WHEN s.rank IS NULL THEN 'none' ELSE 'hybrid' END AS source, round(coalesce(score, 0), 6) AS score,
-       CASE WHEN s.rank IS NULL THEN '' ELSE coalesce(description_terms, '') END AS description_terms, CASE WHEN s.rank IS NULL THEN '' ELSE coalesce(name_terms, '') END AS name_terms
-FROM s LEFT JOIN h ON h.query_id = s.query_id AND h.rank IS NOT DISTINCT FROM s.rank""",
+  SELECT query_id, rank, string_agg(w, ' ' ORDER BY i) FILTER (WHERE d) AS description_terms, string_agg(w, ' ' ORDER BY i) FILTER (WHERE n) AS name_terms, count(*) FILTER (WHERE n) AS many,
+         string_agg('''' || w || '''', ', ' ORDER BY i) FILTER (WHERE d) AS told, string_agg('''' || w || '''', ', ' ORDER BY i) FILTER (WHERE n) AS named,
+         bool_or(w = 'size') AS sized, bool_or(v) AS served
+  FROM f GROUP BY query_id, rank),
+b AS (
+  SELECT s.*, description_terms, name_terms, many, told, named, coalesce(sized, FALSE) AS sized, coalesce(served, FALSE) AS served,
+         CASE WHEN s.rank IS NULL THEN 'none' WHEN score >= 0.85 THEN 'very high' WHEN score >= 0.70 THEN 'high' WHEN score >= 0.55 THEN 'moderate' ELSE 'low' END AS score_band
+  FROM s LEFT JOIN h ON h.query_id = s.query_id AND h.rank IS NOT DISTINCT FROM s.rank)
+SELECT query_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank, item_id, score_band, CASE WHEN rank IS NULL THEN 'none' ELSE 'hybrid' END AS source, round(coalesce(score, 0), 6) AS score,
+       CASE WHEN rank IS NULL THEN '' ELSE coalesce(description_terms, '') END AS description_terms, CASE WHEN rank IS NULL THEN '' ELSE coalesce(name_terms, '') END AS name_terms,
+       CASE WHEN rank IS NULL THEN '{NOTHING}' ELSE concat_ws('; ',
+         printf('Ranked #%d with a %s fused dense+lexical score (dense %.2f, BM25 %.2f, both min-max normalised) of %.3f', CAST(rank AS INTEGER), score_band, dense, bm25, score),
+         CASE WHEN many > 1 THEN 'query terms ' || named || ' appear in the item name' WHEN many = 1 THEN 'query term ' || named || ' appears in the item name' END,
+         'description mentions ' || told, CASE WHEN sized THEN 'parameter names include ''size''' END, CASE WHEN served THEN 'query references the ''' || server || ''' server directly' END,
+         CASE WHEN told IS NULL AND named IS NULL AND NOT sized AND NOT served THEN 'no literal term overlap: selected on semantic similarity alone' END) || '.' END AS reason
+FROM b""",
 }
 for _name, _source in (("route_dense", "rd"), ("route_hybrid", "rh")):
     SQL[_name] = f"""{with_(SCORES, gates(_source))}

@@ -378,7 +378,7 @@ def explain_rows(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.lit("size")).alias("parameter_names"),
     )
     rows = explain.explain(gate.selected(gated(spark, d, True)), F.broadcast(items), "hybrid")
-    return rows.select("query_id", "rank", "item_id", "score_band", "source", six("score"), joined(F.col("hits_description")).alias("description_terms"), joined(F.col("hits_name")).alias("name_terms"))
+    return rows.select("query_id", "rank", "item_id", "score_band", "source", six("score"), joined(F.col("hits_description")).alias("description_terms"), joined(F.col("hits_name")).alias("name_terms"), "reason")
 
 
 def generated_dataset(spark: SparkSession, d: str) -> DataFrame:
