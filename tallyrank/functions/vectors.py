@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -120,10 +121,12 @@ class HashEmbedder:
         return np.array([self.embed(t) for t in texts]).reshape(len(texts), self.dim)
 
     def embed(self, text: str | None) -> np.ndarray:
-        found = [self._token(t) for t in tokens_of(text)]
+        counts = Counter(tokens_of(text))
+        found = [self._token(t) for t in counts]
         v = np.zeros(self.dim)
         if found:
-            v = np.bincount(np.concatenate([p for p, _ in found]), np.concatenate([w for _, w in found]), minlength=self.dim)
+            times = np.repeat(np.fromiter(counts.values(), float, len(counts)), [len(p) for p, _ in found])
+            v = np.bincount(np.concatenate([p for p, _ in found]), np.concatenate([w for _, w in found]) * times, minlength=self.dim)
             v = np.sign(v) * np.log1p(np.abs(v))
             norm = np.sqrt(v @ v)
             v = v / norm if norm > 0 else v
