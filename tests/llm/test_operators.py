@@ -67,6 +67,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 3, common.HEAVY])
+def test_join_skewed(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    keys = [None] * 5 + ["hot"] * 50 + ["warm"] * 9 + [f"k{i}" for i in range(20)]
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, key string")
+    right = left.where("key <> 'k3'").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    got = common.join_skewed(left, right, "key", "n", 79, F.col("id"))
+    assert got.columns == ["id", "key", "n", "first"]
+    counts = Counter(keys)
+    want = [(i, k, *((counts[k], keys.index(k)) if k and k != "k3" else (None, None))) for i, k in enumerate(keys)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 # --- 1: secrets -------------------------------------------------------------------------------------
 
 
@@ -659,6 +672,26 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows), key=repr)
 
 
+def test_chain_without_a_main_component(spark, monkeypatch):
+    """A group whose links are sparse: each text is near the next few only; blocks of two, pivots of one."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
+    words = [f"c{k}" for k in range(400)]
+    rows = [(i, " ".join(words[9 * i : 9 * i + 100])) for i in range(14)]
+    rows += [(100 + i, " ".join(words[14 * i : 14 * i + 60] + [f"z{i}x{k}" for k in range(40)])) for i in range(6)]
+    got = minhash.near_duplicates(docs_of(spark, rows))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows), key=repr)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " tail"), (9, c), (8, c), (8, c)]
+    got = rows_of(minhash.near_duplicates(docs_of(spark, rows)), "doc_id", "component_id", "kept")
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (8, 8, True), (9, 8, False)]
+    few = minhash.near_duplicates(docs_of(spark, rows), among=spark.createDataFrame([(7,), (9,), (5,)], "doc_id long"))
+    assert rows_of(few, "doc_id", "component_id") == [(5, 5), (5, 5), (5, 5), (7, 5), (9, 9)]
+
+
 def test_hot_passage_among_unlike_documents(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 1)
     monkeypatch.setattr(minhash, "PIVOTS", 0)
