@@ -245,6 +245,11 @@ def confirmed_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """Known components as edges, from which a search for further ones goes on in few rounds."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _by_task(df: DataFrame) -> DataFrame:
     return df.repartition("task").sortWithinPartitions("task")
 
@@ -324,7 +329,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             .join(reps.select("doc_id", "set_id", "sig"), ["doc_id", "set_id"])
         )
         rest = _by_task(across(written(apart, "large-buckets"))).select("task", "doc_id", "sig").mapInArrow(group_edges, "a long, b long")
-        roots = components(near.unionByName(rest))
+        roots = components(_stars(roots).unionByName(rest))
     grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +374,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             F.col("grp").alias("bucket"), "grp", "doc_id", F.coalesce("root", "doc_id").alias("known"), "sig", "shingles", F.col("n").alias("weight")
         )
         second = _by_task(across(written(named, "large-groups"))).select(*columns).mapInArrow(links, "a long, b long")
-        final = components(first.unionByName(second))
+        final = components(_stars(final).unionByName(second))
     labels = classes.join(final, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("root", "rep").alias("label"), "copies")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     told = join_skewed(rows.select("doc_id", "n_shingles", "set_id"), labels, "set_id", "copies", total, F.col("doc_id"))
