@@ -75,8 +75,10 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str, total: int,
     side = lambda df, key, value: df.select(F.col(on).alias(key), F.struct(*values).alias(value))
     heavy, light = side(right.where(F.col(n) > limit), "_heavy", "_of_heavy"), side(right.where(F.col(n) <= limit), "_light", "_of_light")
     first = left.join(F.broadcast(heavy), F.col(on) == F.col("_heavy"), "left")
-    first = first.withColumn("_key", F.when(F.col("_heavy").isNull(), F.col(on))).withColumn("_deal", F.when(F.col("_key").isNull(), F.xxhash64(row)).otherwise(0))
-    second = first.join(light.withColumn("_dealt", F.lit(0).cast("long")), (F.col("_key") == F.col("_light")) & (F.col("_deal") == F.col("_dealt")), "left")
+    first = first.withColumn("_key", F.when(F.col("_heavy").isNull(), F.col(on))).withColumn("_deal", F.when(F.col("_key").isNull(), F.xxhash64(row)).otherwise(F.lit(0).cast("long")))
+    # One key of two parts: with two keys Spark may deal by the first alone, which sends all null keys to one task.
+    both = F.struct(F.col("_key").alias("k"), F.col("_deal").alias("d")) == F.struct(F.col("_light").alias("k"), F.lit(0).cast("long").alias("d"))
+    second = first.join(light, both, "left")
     return second.select(*(F.col(c) for c in left.columns), *(F.coalesce(F.col("_of_heavy")[c], F.col("_of_light")[c]).alias(c) for c in values))
 
 
