@@ -372,6 +372,29 @@ def test_search_skips_documents():
     assert shard.met == 15 * 4000 and 0 < shard.scored < 0.05 * shard.met
 
 
+def test_middling_terms_come_by_products_and_stay_exact(monkeypatch):
+    """Postings of words in a twentieth to a ninth of the documents aren't read a query at a time, and no score changes."""
+    rng = random.Random(2)
+    middling = [f"m{i}" for i in range(40)]
+    texts = [" ".join([*rng.sample(middling, 3), f"r{rng.randrange(300)}", *rng.choices(["the", "of", "and"], k=3)]) for _ in range(1500)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    idf = {w: math.log1p((1500 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    read, spans = [], topk._spans
+    monkeypatch.setattr(topk, "_spans", lambda start, sizes: read.append(int(sizes.sum())) or spans(start, sizes))
+    shard = shard_of(texts, 7.0)
+    assert len(shard.middle) == 40
+    for i in range(0, 300, 17):
+        q = sorted(set(texts[i].split()))
+        scores = [
+            (-round(sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * 7 / 7.0)) for w in q if w in tf), 9), j)
+            for j, t in enumerate(texts) for tf in [Counter(t.split())]
+        ]
+        ids, got = search_all([(shard, 0)], q, idf, 10)
+        assert np.allclose(got, [-s for s, _ in sorted(scores)[:10]], atol=2e-9)
+        assert ids[0] == sorted(scores)[0][1]
+        assert read.pop() == df[next(w for w in q if w[0] == "r")]
+
+
 # --- 5: language model ------------------------------------------------------------------------------
 
 PIECES_SCORED = [("▁", -1.0), ("a", -2.0), ("b", -3.0), ("▁a", -4.0), ("ab", -5.0), ("▁ab", -6.0), ("ba", -7.0)]
