@@ -328,6 +328,18 @@ def test_top_k_of_odd_rows(spark):
     assert [r["rank"] for r in sorted(got)] == [1, 2, 3, 4, 5, 1, 2, 3, 4]
 
 
+def test_equal_queries_are_searched_once_and_all_told(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rows = [(50 * i, f"a b{i % 3} c{i % 4 // 3}") for i in range(24)] + [(7, "a b1"), (1200, None), (1250, ""), (1300, "zz")]
+    df = docs_of(spark, rows)
+    asking = df.where("doc_id % 50 = 0")
+    classes = {(r["query_id"], r["rep"], r["n"]) for r in topk.query_classes(asking.select(F.col("doc_id").alias("query_id"), "text")).collect()}
+    texts = {i: t or "" for i, t in rows if i % 50 == 0}
+    same = {i: [j for j, t in texts.items() if t == texts[i]] for i in texts}
+    assert classes == {(i, min(same[i]), len(same[i])) for i in texts} and len({r for _, r, _ in classes}) == 8
+    assert rows_of(topk.top_k(df, asking, 5), "query_id", "rank", "doc_id", "score") == brute_top_k(rows, sorted(texts), 5)
+
+
 def shard_of(texts, mean=6.0):
     arrays, terms = topk.Shard.build(list(range(len(texts))), texts, mean)
     return topk.Shard(arrays, terms, mean)
