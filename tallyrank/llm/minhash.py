@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, split_words, written
+from .common import join_skewed, sieved, split_words, written
 from .components import components
 
 SHINGLE = 5
@@ -341,8 +341,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             names = ["doc_id", "grp", "set_id", "sig", "shingles"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(sets, pa.binary())], names=names).filter(own)
 
-    chosen = reps.join(grouped, reps["doc_id"] == grouped["node"]).select(reps["doc_id"].alias("id"), "set_id", "sig", F.col("root").alias("grp"))
-    own = docs.select("doc_id", "text")
+    chosen = written(reps.join(grouped, reps["doc_id"] == grouped["node"]).select(reps["doc_id"].alias("id"), "set_id", "sig", F.col("root").alias("grp")), "chosen")
+    own = sieved(docs.select("doc_id", "text"), chosen.select(F.col("id").alias("doc_id")))
     sets = written(
         own.join(chosen, own["doc_id"] == chosen["id"])
         .select("doc_id", "text", "grp", "set_id", "sig")

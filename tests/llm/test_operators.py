@@ -718,6 +718,38 @@ def test_chain_without_a_main_component(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_near(rows), key=repr)
 
 
+def test_near_duplicates_move_texts_of_groups_only(spark, monkeypatch):
+    moved, sieved = [], minhash.sieved
+    monkeypatch.setattr(minhash, "sieved", lambda df, ids: moved.append((sieved(df, ids), df)) or moved[-1][0])
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, words(i, 20)) for i in range(400)] + [(1000, words(7, 20) + " more"), (None, words(7, 20))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(400)} | {1000: 7, None: None}
+    few, all_rows = (df.count() for df in moved[0])
+    assert 2 <= few < 10 and all_rows == 402
+
+
+@pytest.mark.parametrize("marks", [1, 5, 1 << 18])
+def test_sieved_loses_no_row(spark, monkeypatch, marks):
+    monkeypatch.setattr(common, "MARKS", marks)
+    docs = spark.createDataFrame([(i, str(i)) for i in [*range(-50, 50), 2**62, 3, None]], "doc_id long, text string")
+    ids = [-7, 3, 2**62, 999]
+    left = common.sieved(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    assert sorted(r.text for r in left.where(F.col("doc_id").isin(ids)).collect()) == sorted(map(str, [-7, 3, 3, 2**62]))
+    assert marks < 9 or left.count() < 9
+
+
+def test_written_tables_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    texts = spark.range(0, 12_000, 1, 1).select("id", F.concat_ws(" ", *(F.sha2(F.concat_ws(" ", "id", F.lit(k)), 512) for k in range(31))).alias("text"))
+    out = common.written(texts, "groups")
+    assert out.count() == 12_000 and out.where("length(text) = 3998").count() == 12_000
+    (at,) = out.inputFiles()
+    told = pq.ParquetFile(at.removeprefix("file://")).metadata
+    assert max(told.row_group(k).total_byte_size for k in range(told.num_row_groups)) <= 1.25 * common.ROW_GROUP
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
     rows = [(1, a), (5, a), (5, b), (5, b), (7, b + " tail"), (9, c), (8, c), (8, c)]
