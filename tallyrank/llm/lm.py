@@ -4,7 +4,8 @@ The pieces and their first scores come from an existing vocabulary. A text is it
 behind a word mark, and one end; every way to segment it into pieces counts, weighted by the
 product of piece probabilities, and a forward recursion sums over them: in log space for words of SHORT
 characters or more, and for shorter ones in plain probabilities wherever their sum is at least LEAST, else
-(many unknown characters) in log space too. Each word seen in
+(many unknown characters) in log space too. Shorter words go through the recursion together, SLICE at a time, with
+arrays: a step takes all words from one place to the next. Each word seen in
 training is one more piece, over all of the word. Two rounds of expected counts over all training
 documents fit the pieces' probabilities and the share of whole words to the corpus (a word's own
 occurrence left out of its count, so that rare words leave mass to pieces). All pieces, one
@@ -24,10 +25,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, split_words, written
+from .common import crc_bucket, written
 
 HELD_OUT = 10
 MARK = "▁"
@@ -39,8 +41,14 @@ SHORT = 32
 #: Least sum of a shorter word that is taken from plain probabilities. What passes through a point where they get
 #: lost or lose digits (under 2.3e-308) is at most that much, as no sum over a rest is above 1.
 LEAST = 1e-280
+#: Shorter words whose sums are formed together.
+SLICE = 10_000
 BLOCK_CHARS = 16_000_000
+#: Texts that are split together.
+SPLIT_BYTES = 16_000_000
 LEAST_BLOCKS = 16
+#: Codes of characters whose steps stand in a table by node.
+COMMON = 64
 #: Code points that the "any character" event is spread over.
 CHARACTERS = 0x110000
 ANY, STOP, WHOLE = "\0any", "\0end", "\0whole"
@@ -73,6 +81,34 @@ class Lattice:
         self.paths = {p[:k]: 0.0 for p in self.pieces for k in range(1, len(p))} | {p: math.exp(v) for p, v in self.pieces.items()}
         self.any = model[ANY] - math.log(CHARACTERS)
         self.stop = model[STOP]
+        # The same walks for arrays: a path is a node from 1 on, 0 is the start and, as a piece, any character. Characters have codes,
+        # the most frequent first; code 0 goes on nowhere. Steps by other than COMMON codes are looked for in a sorted array.
+        self.names = [ANY, *self.paths]
+        self.weights = np.array([math.exp(self.any), *self.paths.values()])
+        nodes = dict(zip(self.paths, range(1, len(self.names)), strict=True)) | {"": 0}
+        letters = {c: k for k, (c, _) in enumerate(Counter([p[-1] for p in self.paths]).most_common(), 1)}
+        self.codes = np.zeros(CHARACTERS, np.int64)
+        self.codes[[ord(c) for c in letters]] = list(letters.values())
+        self.span = len(letters) + 1
+        came = np.array([nodes[p[:-1]] for p in self.paths], np.int64)
+        code = np.array([letters[p[-1]] for p in self.paths], np.int64)
+        often = code < COMMON
+        self.near = np.zeros(len(self.names) * COMMON, np.int32)
+        self.near[came[often] * COMMON + code[often]] = np.flatnonzero(often) + 1
+        steps = (came * self.span + code)[~often]
+        order = np.argsort(steps)
+        self.steps, self.targets = np.append(steps[order], np.iinfo(np.int64).max), np.append((np.flatnonzero(~often) + 1)[order], 0)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes that codes lead to; 0 where nothing goes on."""
+        rare = np.flatnonzero(code >= COMMON)
+        if not len(rare):
+            return self.near[node * COMMON + code]
+        to = self.near[node * COMMON + np.where(code < COMMON, code, 0)]
+        wanted = node[rare] * self.span + code[rare]
+        found = np.searchsorted(self.steps, wanted)
+        to[rare] = np.where(self.steps[found] == wanted, self.targets[found], 0)
+        return to
 
     def edges(self, text: str) -> list[list[tuple[int, float, str]]]:
         """By end: (start, log probability, piece) of every piece there."""
@@ -99,85 +135,60 @@ class Lattice:
 
     def score(self, word: str, count: int = 0) -> float:
         """Log probability of a word that training has ``count`` times; of the end for an empty one."""
-        total = self._total(MARK + word) if 0 < len(word) < SHORT else 0.0
-        if not word:
-            parts = self.stop
-        elif total >= LEAST:
-            parts = math.log(total)
-        else:
-            parts = self.forward(self.edges(MARK + word))[-1]
-        return _sum(parts, self.whole + math.log(count)) if count > 0 else parts
-
-    def _total(self, text: str) -> float:
-        """Probability of a short text: the forward recursion without logs. Good from LEAST on; may be 0 below."""
-        get, n, other = self.paths.get, len(text), math.exp(self.any)
-        a = [1.0] + [0.0] * n
-        for i in range(n):
-            x = a[i]
-            a[i + 1] += x * other
-            for j in range(i + 1, n + 1):
-                p = get(text[i:j])
-                if p is None:
-                    break
-                if p:
-                    a[j] += x * p
-        return a[n]
+        return float(self.scores([word], [count])[0])
+
+    def scores(self, words: list[str], counts: list[int]) -> np.ndarray:
+        """Log probabilities of words that training has so many times."""
+        parts, times = np.full(len(words), -np.inf), np.array(counts, float)
+        for chosen in _short(words):
+            sums = _Sums(self, [words[k] for k in chosen])
+            good = sums.totals >= LEAST
+            parts[chosen[good]] = np.log(sums.totals[good])
+        for k in np.flatnonzero(np.isneginf(parts)):
+            parts[k] = self.forward(self.edges(MARK + words[k]))[-1] if words[k] else self.stop
+        known = times > 0
+        parts[known] = np.logaddexp(parts[known], self.whole + np.log(times[known]))
+        return parts
 
     def expect(self, word: str, times: int, into_counts: dict[str, float]) -> None:
-        """Add the pieces expected in ``times`` occurrences of a training word that occurs no more.
+        """Add the pieces expected in ``times`` occurrences of a training word that occurs no more."""
+        self.expect_all([word], [times], into_counts)
+
+    def expect_all(self, words: list[str], times: list[int], into_counts: dict[str, float]) -> None:
+        """``expect`` of each word.
 
         Short words are summed over in probabilities, longer ones and those whose sum is under LEAST in log space.
         """
-        if not word:
-            into_counts[STOP] += times * self._in_parts(self.stop, times, into_counts)
-        elif len(word) < SHORT:
-            self._expect_short(MARK + word, times, into_counts)
-        else:
-            self._expect_long(MARK + word, times, into_counts)
-
-    def _in_parts(self, parts: float, times: int, into_counts: dict[str, float]) -> float:
-        """The share of occurrences that isn't the whole word's own piece, whose share is added."""
-        if times < 2:
-            return 1.0
-        whole = self.whole + math.log(times - 1)
-        share = math.exp(whole - _sum(parts, whole))
-        into_counts[WHOLE] += times * share
-        return 1 - share
-
-    def _expect_short(self, text: str, times: int, into_counts: dict[str, float]) -> None:
-        get, n, other = self.paths.get, len(text), math.exp(self.any)
-        a = [1.0] + [0.0] * n
-        out: list[list[tuple[int, float, str]]] = []
-        for i in range(n):
-            from_here, x = [], a[i]
-            a[i + 1] += x * other
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                p = get(piece)
-                if p is None:
-                    break
-                if p:
-                    a[j] += x * p
-                    from_here.append((j, p, piece))
-            out.append(from_here)
-        if a[n] < LEAST:
-            self._expect_long(text, times, into_counts)
-            return
-        each = times * self._in_parts(math.log(a[n]), times, into_counts) / a[n]
-        back = [0.0] * n + [1.0]
-        for i in range(n - 1, -1, -1):
-            x, total = a[i] * each, other * back[i + 1]
-            into_counts[ANY] += x * total
-            for j, p, piece in out[i]:
-                after = p * back[j]
-                total += after
-                into_counts[piece] += x * after
-            back[i] = total
-
-    def _expect_long(self, text: str, times: int, into_counts: dict[str, float]) -> None:
+        n, rest = np.array(times, float), np.ones(len(words), bool)
+        for chosen in _short(words):
+            sums = _Sums(self, [words[k] for k in chosen])
+            good = sums.totals >= LEAST
+            each = np.zeros(len(chosen))
+            each[good] = self._in_parts(np.log(sums.totals[good]), n[chosen[good]], into_counts) / sums.totals[good]
+            found = sums.expected(each)
+            for k in np.flatnonzero(found).tolist():
+                into_counts[self.names[k]] += float(found[k])
+            rest[chosen[good]] = False
+        for k in np.flatnonzero(rest):
+            if words[k]:
+                self._expect_long(MARK + words[k], n[k], into_counts)
+            else:
+                into_counts[STOP] += float(self._in_parts(np.array([self.stop]), n[k : k + 1], into_counts)[0])
+
+    def _in_parts(self, parts: np.ndarray, times: np.ndarray, into_counts: dict[str, float]) -> np.ndarray:
+        """The occurrences that aren't the whole word's own piece, by word; those that are, are added."""
+        share = np.zeros(len(parts))
+        more = times > 1
+        whole = self.whole + np.log(times[more] - 1)
+        share[more] = np.exp(whole - np.logaddexp(parts[more], whole))
+        if more.any():
+            into_counts[WHOLE] += float(times @ share)
+        return times * (1 - share)
+
+    def _expect_long(self, text: str, times: float, into_counts: dict[str, float]) -> None:
         into = self.edges(text)
         a = self.forward(into)
-        each = times * self._in_parts(a[-1], times, into_counts)
+        each = float(self._in_parts(np.array([a[-1]]), np.array([times], float), into_counts)[0])
         back = [-math.inf] * len(into)
         back[-1] = 0.0  # log probability of all ways from here to the end
         for j in range(len(into) - 1, 0, -1):
@@ -187,6 +198,66 @@ class Lattice:
                 back[i] = _sum(back[i], after)
 
 
+def _short(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of the words of 1 to SHORT - 1 characters, SLICE at a time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    places = np.flatnonzero((lengths > 0) & (lengths < SHORT))
+    for k in range(0, len(places), SLICE):
+        yield places[k : k + SLICE]
+
+
+class _Sums:
+    """Plain probabilities of some short words, by a forward recursion over all of them at once.
+
+    The words lie behind each other, each with its mark and with one place more for its end. Edges are ordered by the place in the
+    word that they start at, so that a word's sums are added in the same order whatever words are beside it.
+    """
+
+    def __init__(self, lattice: Lattice, words: list[str]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.ends = np.cumsum(sizes) - 1
+        begins = self.ends + 1 - sizes
+        codes = lattice.codes[np.frombuffer((MARK + f"\n{MARK}".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        codes[self.ends] = 0
+        places = np.ones(len(codes), bool)
+        places[self.ends] = False
+        at = np.flatnonzero(places)
+        starts, lengths, nodes = [at], [1], [np.zeros(len(at), np.int64)]
+        node, length = nodes[0], 0
+        while len(at):
+            to = lattice.step(node, codes[at + length])
+            on = np.flatnonzero(to)
+            at, node, length = at[on], to[on].astype(np.int64), length + 1
+            whole = np.flatnonzero(lattice.weights[node])
+            starts.append(at[whole])
+            lengths.append(length)
+            nodes.append(node[whole])
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        start = np.concatenate(starts)
+        column = (start - begins[self.word[start]]).astype(np.uint16)
+        order = np.argsort(column, kind="stable")
+        self.start, self.node = start[order], np.concatenate(nodes)[order]
+        self.end = (start + np.repeat(lengths, [len(s) for s in starts]))[order]
+        self.weight = lattice.weights[self.node]
+        self.size = len(lattice.weights)
+        bounds = [0, *np.cumsum(np.bincount(column)).tolist()]
+        self.columns = [slice(i, j) for i, j in zip(bounds, bounds[1:], strict=False)]
+        self.a = np.zeros(len(codes))
+        self.a[begins] = 1.0
+        for c in self.columns:
+            np.add.at(self.a, self.end[c], self.a[self.start[c]] * self.weight[c])
+        self.totals = self.a[self.ends]
+
+    def expected(self, each: np.ndarray) -> np.ndarray:
+        """By node: its occurrences, where each word's paths count ``each`` times their probabilities."""
+        back = np.zeros(len(self.a))
+        back[self.ends] = 1.0
+        for c in reversed(self.columns):
+            np.add.at(back, self.start[c], self.weight[c] * back[self.end[c]])
+        x = self.a * each[self.word]
+        return np.bincount(self.node, x[self.start] * (self.weight * back[self.end]), self.size)
+
+
 def _sum(x: float, y: float) -> float:
     """log(exp(x) + exp(y))"""
     low, high = (x, y) if x < y else (y, x)
@@ -209,31 +280,43 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
                 at = k
 
 
+def split_texts(texts: pa.Array) -> Iterator[tuple[slice, pa.Array, np.ndarray]]:
+    """``split_words`` of many texts, about SPLIT_BYTES at a time: (rows, their words behind each other, number of words by row)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SPLIT_BYTES, side="right")))
+        # Both functions know ASCII only. A blank at either end of a text leaves an empty word.
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, to - at), "")))
+        words, row = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.greater(pc.binary_length(words), 0)
+        yield slice(at, to), words.filter(full), np.bincount(row.filter(full).to_numpy(), minlength=to - at)
+        at = to
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each block with their training counts (0 for words of held-out rows alone)."""
 
-    def out(block: int, counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
-        words = list(counts)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in part], pa.int64())],
-                names=["block", "word", "n"],
-            )
+    def out(block: int, counts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        for part in whole.select(["word", "n_sum"]).to_batches(max_chunksize=50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), *part.columns], names=["block", "word", "n"])
+
+    def counted(words: pa.Array, n: np.ndarray) -> pa.Table:
+        return pa.table({"word": words.cast(pa.string()), "n": pa.array(n, pa.int64())})
 
-    now, counts = None, Counter()
+    now, counts = None, []
     for block, rows in _runs(batches):
         if block != now:
             if now is not None:
                 yield from out(now, counts)
-            now, counts = block, Counter()
-        for text, held in zip(rows.column("text"), rows.column("held_out").to_pylist(), strict=True):
-            words = split_words(text.as_py())
-            if held:
-                counts.update(dict.fromkeys([*words, END], 0))
-            else:
-                counts.update(words)
-                counts[END] += 1
+            now, counts = block, []
+        trained = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+        counts.append(counted(pa.array([END.decode()]), np.array([trained.sum()])))
+        for at, words, sizes in split_texts(rows.column("text")):
+            coded = words.dictionary_encode()
+            of_trained = coded.indices.to_numpy()[np.repeat(trained[at], sizes)]
+            counts.append(counted(coded.dictionary, np.bincount(of_trained, minlength=len(coded.dictionary))))
     if now is not None:
         yield from out(now, counts)
 
@@ -274,8 +357,7 @@ def score_documents(docs: DataFrame, make_vocabulary: Callable[[], list[tuple[st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, counts = Lattice(model, n), defaultdict(float)
             for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                    lattice.expect(word, c, counts)
+                lattice.expect_all(batch.column("word").to_pylist(), batch.column("c").to_pylist(), counts)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "x"])
 
         return run
@@ -288,7 +370,7 @@ def score_documents(docs: DataFrame, make_vocabulary: Callable[[], list[tuple[st
     def lattice_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model, n)
         for batch in batches:
-            scores = [lattice.score(w, c) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True)]
+            scores = lattice.scores(batch.column("word").to_pylist(), batch.column("c").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array(scores, pa.float64())], names=["word", "c", "s"]
             )
@@ -298,14 +380,19 @@ def score_documents(docs: DataFrame, make_vocabulary: Callable[[], list[tuple[st
     bottom = math.log(n + 0.1 * (v + 1))
 
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = [right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist(), right.column("s").to_pylist()]
-        place = {w: k for k, w in enumerate(columns[0])}
-        count = np.array(columns[1], float)
-        known, base, full = count > 0, np.log(count + 0.1) - bottom, np.array(columns[2], float)
+        words = right.column("word").combine_chunks()
+        count, full = right.column("c").to_numpy().astype(float), right.column("s").to_numpy()
+        known, base = count > 0, np.log(count + 0.1) - bottom
+        end = pc.index(words, END.decode()).as_py()
         rows = []
-        for text in left.column("text"):
-            at = np.array([*map(place.__getitem__, split_words(text.as_py())), place[END]])
-            rows.append((len(at), int(known[at].sum()), n, float(base[at].sum()) / LOG10, float(full[at].sum()) / LOG10))
+        for texts in left.column("text").chunks:
+            for _, found, sizes in split_texts(texts):
+                at = pc.index_in(found, value_set=words).to_numpy()
+                of_known, of_base, of_full = known[at], base[at], full[at]
+                ends = np.cumsum(sizes).tolist()
+                for i, j in zip([0, *ends], ends, strict=False):
+                    sums = [float(of[i:j].sum() + last) / LOG10 for of, last in ((of_base, base[end]), (of_full, full[end]))]
+                    rows.append((j - i + 1, int(of_known[i:j].sum()) + int(known[end]), n, *sums))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         numbers = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -480,6 +480,63 @@ def test_expected_counts_match_all_segmentations(monkeypatch, word, times, short
     assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v for k, v in want.items() if v > 1e-12}, rel=1e-9)
 
 
+def test_short_words_are_summed_together(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 700)
+    lattice, rng = lm.Lattice(lm.first_model(queries.piece_scores()), 9000), random.Random(5)
+    odd = ["", "\0", "a\0b", "\0any", "▁", "a▁b", "\U0001f600x", "\ud7ff\ue000", "x" * 31, "x" * 32, "the" * 90, "\uff21" * 25, "日本語のテキスト", "größer"]
+    words = odd + ["".join(rng.choices("etaoinshrdlué世界\uff21", k=rng.randrange(1, 14))) for _ in range(2000)]
+    times = [rng.choice([1, 1, 2, 9, 1000]) for _ in words]
+
+    def in_lines(run):
+        lines = [0]
+
+        def trace(frame, event, arg):
+            lines[0] += frame.f_code.co_filename == lm.__file__
+            return trace
+
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            return run(), lines[0]
+        finally:
+            sys.settrace(before)
+
+    plain = [w for w in words if 0 < len(w) < 20]
+    got, lines = in_lines(lambda: lattice.scores(plain, [1] * len(plain)))
+    assert len(got) == len(plain) and lines < 3 * len(plain)  # one by one a word took some 60
+    _, lines = in_lines(lambda: lattice.expect_all(plain, [1] * len(plain), defaultdict(float)))
+    assert lines < 3 * len(plain) + 2 * len(lattice.names)
+    for counts in (times, [0] * len(words)):
+        assert lattice.scores(words, counts).tolist() == [lattice.score(w, c) for w, c in zip(words, counts, strict=True)]
+    together, expected = defaultdict(float), defaultdict(float)
+    lattice.expect_all(words, times, together)
+    scored = lattice.scores(words, times)
+    monkeypatch.setattr(lm, "SHORT", 0)
+    assert scored == pytest.approx(lattice.scores(words, times), rel=1e-12)
+    lattice.expect_all(words, times, expected)
+    assert {k: together[k] for k in expected} == pytest.approx(expected, rel=1e-8, abs=1e-12) and len(together) == len(expected)
+
+
+def test_texts_split_together_are_split_words(monkeypatch):
+    texts = ["".join(f"A{chr(k)}b" for k in range(0x3100)), None, "", " ", " a  B\t", "\0 \0", "x\x1cY\x85Z\xa0w\u2003v", "İÀÉ K", "end\n"] * 3
+    for limit in (1, 40, 10**6):
+        monkeypatch.setattr(lm, "SPLIT_BYTES", limit)
+        got, at = [], 0
+        for rows, words, sizes in lm.split_texts(pa.array(["no part", *texts]).slice(1)):
+            assert rows.start == at and len(sizes) == rows.stop - rows.start and sum(sizes) == len(words)
+            at, flat = rows.stop, iter(words.to_pylist())
+            got += [[next(flat).encode() for _ in range(k)] for k in sizes]
+        assert got == [common.split_words(t) for t in texts]
+
+
+def test_words_of_blocks_are_counted(monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 5)
+    rows = [(4, False, "a b A"), (4, True, "c a"), (4, False, None), (7, True, ""), (9, False, "b  c"), (9, False, " b"), (9, True, "")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("block", "held_out", "text"), r, strict=True)) for r in rows[i:j]]) for i, j in ((0, 2), (2, 6), (6, 7))]
+    got = [tuple(r.values()) for b in lm.count_words(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(4, "", 2), (4, "a", 2), (4, "b", 1), (4, "c", 0), (7, "", 0), (9, "", 2), (9, "b", 2), (9, "c", 1)]
+
+
 def test_refit_is_counts_over_all():
     model = lm.first_model(PIECES_SCORED)
     got = lm.refit(model, {"a": 3.0, lm.STOP: 1.0})
