@@ -45,7 +45,7 @@ LEAST = 1e-280
 SLICE = 10_000
 BLOCK_CHARS = 16_000_000
 #: Texts that are split together.
-SPLIT_BYTES = 16_000_000
+SPLIT_BYTES = 4_000_000
 LEAST_BLOCKS = 16
 #: Codes of characters whose steps stand in a table by node.
 COMMON = 64
@@ -288,10 +288,15 @@ def split_texts(texts: pa.Array) -> Iterator[tuple[slice, pa.Array, np.ndarray]]
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SPLIT_BYTES, side="right")))
         # Both functions know ASCII only. A blank at either end of a text leaves an empty word.
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(at, to - at), "")))
-        words, row = lists.flatten(), pc.list_parent_indices(lists)
+        words, sizes = lists.flatten(), lists.value_lengths().to_numpy()
         full = pc.greater(pc.binary_length(words), 0)
-        yield slice(at, to), words.filter(full), np.bincount(row.filter(full).to_numpy(), minlength=to - at)
+        if full.false_count:
+            words, sizes = words.filter(full), np.bincount(pc.list_parent_indices(lists).filter(full).to_numpy(), minlength=to - at)
+        del lists, full
+        yield slice(at, to), words, sizes
         at = to
+    # What Arrow keeps for later would stay in idle workers.
+    pa.default_memory_pool().release_unused()
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
